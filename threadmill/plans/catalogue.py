@@ -1,0 +1,6 @@
+"""Every named query and, where SQL can say the same, its DuckDB text."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLES: dict = {}
