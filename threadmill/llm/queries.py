@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import rules, sharding
+from . import bpe, rules, sharding
 from .common import read
 
 QUERIES = {
     "op7_quality_rules": lambda s, d: rules.op7(read(s, d, "documents")),
+    "op9_bpe": lambda s, d: bpe.op9(read(s, d, "documents")),
     "op8_sharding": lambda s, d: sharding.op8(read(s, d, "documents")),
 }
 ORACLES: dict[str, str] = {}
