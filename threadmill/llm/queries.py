@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe, quality, rules, sharding
+from . import bpe, decontaminate, quality, rules, sharding
 from .common import read
 
 QUERIES = {
     "op3_compression_quality": lambda s, d: quality.op3(read(s, d, "documents"), read(s, d, "labels")),
+    "op4_winnowing": lambda s, d: decontaminate.op4(read(s, d, "documents"), read(s, d, "benchmark")),
     "op7_quality_rules": lambda s, d: rules.op7(read(s, d, "documents")),
     "op9_bpe": lambda s, d: bpe.op9(read(s, d, "documents")),
     "op8_sharding": lambda s, d: sharding.op8(read(s, d, "documents")),
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_winnowing": decontaminate.OP4_SQL,
+}
