@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, html, quality, rules, sharding
+from . import bpe, decontaminate, html, quality, rules, sharding, warc
 from .common import read
 
 QUERIES = {
     "op1_block_rules": lambda s, d: html.op1(read(s, d, "pages")),
+    "op2_capture_index": lambda s, d: warc.op2(read(s, d, "pages")),
     "op3_compression_quality": lambda s, d: quality.op3(read(s, d, "documents"), read(s, d, "labels")),
     "op4_winnowing": lambda s, d: decontaminate.op4(read(s, d, "documents"), read(s, d, "benchmark")),
     "op7_quality_rules": lambda s, d: rules.op7(read(s, d, "documents")),
@@ -14,5 +15,6 @@ QUERIES = {
     "op8_sharding": lambda s, d: sharding.op8(read(s, d, "documents")),
 }
 ORACLES: dict[str, str] = {
+    "op2_capture_index": warc.OP2_SQL,
     "op4_winnowing": decontaminate.OP4_SQL,
 }
