@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, html, near, quality, rules, sharding, warc
+from . import bpe, decontaminate, html, near, quality, rules, secrets, sharding, warc
 from .common import read
 
 QUERIES = {
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_divide_skip": lambda s, d: near.op6(read(s, d, "documents")),
     "op7_quality_rules": lambda s, d: rules.op7(read(s, d, "documents")),
     "op9_bpe": lambda s, d: bpe.op9(read(s, d, "documents")),
+    "op10_secret_forest": lambda s, d: secrets.op10(read(s, d, "documents")),
     "op8_sharding": lambda s, d: sharding.op8(read(s, d, "documents")),
 }
 ORACLES: dict[str, str] = {
