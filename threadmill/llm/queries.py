@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, html, near, quality, rules, secrets, sharding, warc
+from . import bpe, chat, decontaminate, html, near, quality, rules, secrets, sharding, warc
 from .common import read
 
 QUERIES = {
@@ -10,6 +10,7 @@ QUERIES = {
     "op2_capture_index": lambda s, d: warc.op2(read(s, d, "pages")),
     "op3_compression_quality": lambda s, d: quality.op3(read(s, d, "documents"), read(s, d, "labels")),
     "op4_winnowing": lambda s, d: decontaminate.op4(read(s, d, "documents"), read(s, d, "benchmark")),
+    "op5_quotation_links": lambda s, d: chat.op5(read(s, d, "conversations")),
     "op6_divide_skip": lambda s, d: near.op6(read(s, d, "documents")),
     "op7_quality_rules": lambda s, d: rules.op7(read(s, d, "documents")),
     "op9_bpe": lambda s, d: bpe.op9(read(s, d, "documents")),
@@ -19,5 +20,6 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op2_capture_index": warc.OP2_SQL,
     "op4_winnowing": decontaminate.OP4_SQL,
+    "op5_quotation_links": chat.OP5_SQL,
     "op6_divide_skip": near.OP6_SQL,
 }
