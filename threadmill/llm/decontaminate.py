@@ -166,9 +166,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, k: in
     hits = met.select("key", "item_id", "place", "lead", "words", "item_lead", "item_words").mapInArrow(verify, f"key string, item_id {item}, start bigint, end bigint")
     per_doc = hits.groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("spans"), F.collect_set("item_id").alias("items"))
     span = "array<struct<start:bigint,end:bigint>>"
-    return scanned.select("doc_id", "n_words", "key").join(per_doc, "key", "left").select(
-        "doc_id", "n_words", F.array_sort(F.coalesce("spans", F.array().cast(span))).alias("spans"),
-        F.array_sort(F.coalesce("items", F.array().cast(f"array<{item}>"))).alias("items"))
+    none = [F.array().cast(span).alias("spans"), F.array().cast(f"array<{item}>").alias("items")]
+    # rows without a candidate need no join
+    met = scanned.where(F.col("key").isNotNull()).join(per_doc, "key", "left").select(
+        "doc_id", "n_words", F.array_sort(F.coalesce("spans", none[0])).alias("spans"), F.array_sort(F.coalesce("items", none[1])).alias("items"))
+    return met.unionAll(scanned.where(F.col("key").isNull()).select("doc_id", "n_words", *none))
 
 
 def n_hit(spans: str):
