@@ -271,6 +271,30 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     return rows.mapInArrow(run, f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
 
 
+def tokens(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, source and lang with the ids, their number and the digests, from one pass."""
+    small_batches(docs.sparkSession)
+    kept = [f for f in docs.schema.fields if f.name in ("doc_id", "source", "lang")]
+    names = [f.name for f in kept]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = load(path)
+        sha = lambda x: hashlib.sha256(x).hexdigest()
+        for b in batches:
+            row = 0
+            for texts in _chunks(b.column(len(names)).to_pylist()):
+                packed = bpe.encode_batch(texts)
+                at = np.concatenate([[0], np.cumsum([len(p) // 4 for p in packed])]).astype(np.int32)
+                ids = pa.ListArray.from_arrays(at, pa.array(np.frombuffer(b"".join(packed), "<i4")))
+                digests = [pa.array([sha(x) for x in col], pa.string()) for col in (packed, [bpe.decode(p).encode() for p in packed])]
+                same = [b.column(k).slice(row, len(texts)) for k in range(len(names))]
+                yield pa.RecordBatch.from_arrays([*same, ids, pa.array(np.diff(at).astype(np.int64)), *digests], [*names, "ids", "n_tokens", "ids_sha256", "decoded_sha256"])
+                row += len(texts)
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept)
+    return docs.select(*names, "text").mapInArrow(run, f"{kinds}, ids array<int>, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+
+
 def op9(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 

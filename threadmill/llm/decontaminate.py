@@ -115,8 +115,8 @@ def benchmark_prints(benchmark: DataFrame, w: Winnower) -> DataFrame:
     return rows.mapInArrow(run, f"fp bigint, item_id {kind}, item_lead bigint, item_words string, item_n bigint")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, k: int = 8) -> DataFrame:
-    """doc_id, n_words, the hit spans (start, end in words), and the ids of the items found, for each row of ``docs``."""
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, k: int = 8, keep: list[str] | None = None) -> DataFrame:
+    """doc_id, n_words, the hit spans (start, end in words), the ids of the items found, and the columns ``keep``, for each row of ``docs``."""
     spark = docs.sparkSession
     small_batches(spark)
     w = Winnower(window, k)
@@ -138,10 +138,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, k: in
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per)]), pa.int32()), item)
             # a row's key: equal rows share it, and share their result
             keys = [xxhash.xxh3_128_hexdigest(data[at[i] : at[i + 1]].tobytes()) if per[i] else "" for i in range(len(counts))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(keys, pa.string()), lists], ["doc_id", "n_words", "key", "found"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(counts, pa.int64()), pa.array(keys, pa.string()), lists, *b.columns[2:]], ["doc_id", "n_words", "key", "found", *held])
 
+    keep = keep or []
+    held = [f"_kept{i}" for i in range(len(keep))]
+    kinds = "".join(f", {h} {docs.schema[c].dataType.simpleString()}" for h, c in zip(held, keep))
+    rows = docs.select("doc_id", "text", *(F.col(c).alias(h) for h, c in zip(held, keep)))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    scanned = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_words bigint, key string, found {_FOUND}")
+    scanned = rows.mapInArrow(run, f"doc_id {kind}, n_words bigint, key string, found {_FOUND}{kinds}")
     scanned = staged(scanned.withColumn("key", F.when(F.size("found") > 0, F.concat_ws("|", "key", F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))))), "winnow-docs")
 
     ours = scanned.where(F.col("key").isNotNull()).select("key", F.inline("found"))
@@ -167,10 +172,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, k: in
     per_doc = hits.groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("spans"), F.collect_set("item_id").alias("items"))
     span = "array<struct<start:bigint,end:bigint>>"
     none = [F.array().cast(span).alias("spans"), F.array().cast(f"array<{item}>").alias("items")]
+    named = [F.col(h).alias(c) for h, c in zip(held, keep)]
     # rows without a candidate need no join
     met = scanned.where(F.col("key").isNotNull()).join(per_doc, "key", "left").select(
-        "doc_id", "n_words", F.array_sort(F.coalesce("spans", none[0])).alias("spans"), F.array_sort(F.coalesce("items", none[1])).alias("items"))
-    return met.unionAll(scanned.where(F.col("key").isNull()).select("doc_id", "n_words", *none))
+        "doc_id", "n_words", F.array_sort(F.coalesce("spans", none[0])).alias("spans"), F.array_sort(F.coalesce("items", none[1])).alias("items"), *named)
+    return met.unionAll(scanned.where(F.col("key").isNull()).select("doc_id", "n_words", *none, *named))
 
 
 def n_hit(spans: str):
@@ -180,6 +186,30 @@ def n_hit(spans: str):
         (a["n"] + F.greatest(s["end"] - F.greatest(a["end"], s["start"]), F.lit(0))).cast("long").alias("n"), F.greatest(a["end"], s["end"]).alias("end")), lambda a: a["n"])
 
 
+WORD = "[0-9A-Za-z\\x{80}-\\x{10FFFF}]+"
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = 13, k: int = 8, least_share: int = 20) -> DataFrame:
+    """``docs`` without contaminated rows, and the others without the words hit; their columns stay, n_chars is counted anew.
+
+    A row is contaminated when ``least_share * hit words >= words``. Rows with equal doc_id and text share a result.
+    """
+    names = docs.columns
+    d = contamination(docs, benchmark, window, k, keep=[c for c in names if c != "doc_id"])
+    d = d.withColumn("_hit", n_hit("spans")).where((F.col("_hit") == 0) | (least_share * F.col("_hit") < F.col("n_words")))
+    # words and what stands between them, glued together without the hit words
+    found = F.col("_hit") > 0
+    words, gaps = F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.split("text", WORD, -1)
+    d = d.withColumn("_w", F.when(found, words)).withColumn("_g", F.when(found, gaps))
+    mask = F.transform("_w", lambda w, i: F.when(F.exists("spans", lambda s: (s["start"] <= i) & (i < s["end"])), F.lit("")).otherwise(w))
+    d = d.withColumn("_m", mask)
+    glued = F.array_join(F.flatten(F.transform("_g", lambda g, i: F.array(g, F.coalesce(F.get("_m", i), F.lit(""))))), "")
+    d = d.withColumn("text", F.when(found, glued).otherwise(F.col("text")))
+    if "n_chars" in names:
+        d = d.withColumn("n_chars", F.when(found, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return d.select(*names)
+
+
 def op4(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     d = contamination(docs, benchmark).withColumn("n_hit", n_hit("spans"))
     names = F.array_sort(F.transform("items", lambda x: x.cast("string")))

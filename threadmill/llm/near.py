@@ -379,6 +379,21 @@ def _searcher(rule: Rule):
     return run
 
 
+def with_digest(docs: DataFrame, rule: Rule) -> DataFrame:
+    """``docs`` with the digest of each text's set (null: empty)."""
+    names, text = [*docs.columns, "digest"], docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            digests: list[bytes | None] = []
+            for _, values, offs in _sets(b, text, rule.k):
+                digests += [_digest(values[offs[r] : offs[r + 1]]) if offs[r + 1] > offs[r] else None for r in range(len(offs) - 1)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(digests, pa.binary())], names)
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    return docs.mapInArrow(run, f"{kinds}, digest binary")
+
+
 def op6(docs: DataFrame) -> DataFrame:
     return join(docs, Rule(4, 85, 100)).select("doc_id", "n_shingles", "component_id", "n_links")
 

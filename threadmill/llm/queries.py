@@ -5,7 +5,14 @@ from __future__ import annotations
 from . import bpe, chat, decontaminate, html, near, quality, rules, secrets, sharding, warc
 from .common import read
 
+def _pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
+    "pipeline": _pipeline,
     "op1_block_rules": lambda s, d: html.op1(read(s, d, "pages")),
     "op2_capture_index": lambda s, d: warc.op2(read(s, d, "pages")),
     "op3_compression_quality": lambda s, d: quality.op3(read(s, d, "documents"), read(s, d, "labels")),
