@@ -82,4 +82,6 @@ def with_lenses(sql: str) -> str:
     for n in used:
         sql = sql.replace(f"@{n}", n)
     sql = sql.strip()
+    if not used:
+        return sql
     return f"WITH {head}, {sql[5:]}" if sql.startswith("WITH ") else f"WITH {head} {sql}"
