@@ -84,14 +84,21 @@ def parents(messages: DataFrame) -> DataFrame:
 def threads(links: DataFrame) -> DataFrame:
     """``links`` with root and depth: pointers are doubled until none moves, in log2 of the greatest depth rounds."""
     links = staged(links, "chat-links")
-    at = links.select("conv", "turn", F.coalesce("parent", "turn").alias("up"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth"))
-    at = staged(at, "chat-up")
-    while True:
-        other = at.select("conv", F.col("turn").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("more"))
-        at = staged(at.join(other, ["conv", "up"]).select("conv", "turn", F.col("up2").alias("up"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("more") > 0).alias("moved")), "chat-up")
-        if not at.where("moved").limit(1).count():
-            break
-        at = at.drop("moved")
+    start = links.select("conv", "turn", F.coalesce("parent", "turn").alias("up"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth"))
+    settled = [staged(start.where("depth = 0"), "chat-settled")]
+    moving = staged(start.where("depth > 0"), "chat-moving")
+    # only messages that haven't reached their root take part in a round
+    while moving.limit(1).count():
+        known = moving
+        for s in settled:
+            known = known.unionByName(s)
+        known = known.select("conv", F.col("turn").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("more"))
+        met = staged(moving.join(known, ["conv", "up"]), "chat-met")
+        settled.append(met.where("more = 0").select("conv", "turn", "up", "depth"))
+        moving = met.where("more > 0").select("conv", "turn", F.col("up2").alias("up"), (F.col("depth") + F.col("more")).alias("depth"))
+    at = settled[0]
+    for s in settled[1:]:
+        at = at.unionByName(s)
     return links.join(at.select("conv", "turn", F.col("up").alias("root"), "depth"), ["conv", "turn"])
 
 
