@@ -30,7 +30,7 @@ BEFORE, AFTER = 48, 8
 SECRET_WORDS = "token|secret|passw|pwd|api.?key|apikey|access.?key|auth|credential|private|bearer|signing"
 OTHER_WORDS = "commit|sha|md5|checksum|digest|revision|uuid|guid|integrity|etag|hash|version|order|card|phone|account|invoice|isbn|id\\b|url|http|file|path|image|public"
 DICTIONARY = (
-    "example|sample|test|dummy|placeholder|change|replace|your|default|admin|user|name|password|secret|token|key|config|value|data|file|image|"
+    "api|example|sample|test|dummy|placeholder|change|replace|your|default|admin|user|name|password|secret|token|key|config|value|data|file|image|"
     "version|release|build|module|function|class|index|main|page|link|assets|static|here|insert|some|none|null|true|false|with|from|the|and|foo|bar|abc|xxx")
 BIGRAMS = "th|he|in|er|an|re|on|at|en|nd|ti|es|or|te|of|ed|is|it|al|ar|st|to|nt|ng|se|ha|as|ou|io|le|ve|co|me|de|hi|ri|ro|ic|ne|ea|ra|ce|li"
 TEST_PATH = "(?i)test|example|sample|fixture|mock|docs?/|spec|vendor|node_modules"
@@ -72,7 +72,7 @@ def template_findings(spark: SparkSession, rows: int = 4000) -> DataFrame:
     digits = F.substring(F.regexp_replace(F.sha2(text("e"), 512), "[a-f]", ""), 1, 16)
     uuid = F.regexp_replace(hex32, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
     secret = pick("v", hex40, hex32, hex64, b64, F.substring(b64, 1, 20), F.upper(hex40), F.concat(F.lit("AKIA"), F.upper(F.substring(F.regexp_replace(b64, "[^A-Za-z0-9]", "x"), 1, 16))),
-                  F.concat(F.lit("ghp_"), F.substring(F.regexp_replace(b64, "[^A-Za-z0-9]", "y"), 1, 36)), F.concat(F.lit("sk-"), hex40), F.concat(F.substring(b64, 1, 12), hex32))
+                  F.concat(F.lit("ghp_"), F.substring(F.regexp_replace(b64, "[^A-Za-z0-9]", "y"), 1, 36)), F.concat(F.lit("sk-"), hex40), F.concat(F.substring(b64, 1, 12), hex32), F.concat(F.lit("-----BEGIN PRIVATE KEY-----\n"), b64, F.lit("\n-----END PRIVATE KEY-----")))
     words = pick("w", "your-api-key-here-", "example_token_", "some_function_name_v", "assets/static/image_", "placeholder-value-", "release-notes-version-", "user.profile.page.", "insert_password_here_", "test-default-config-", "theandtionered")
     harmless = pick("h", hex40, hex64, hex32, uuid, digits, F.concat(words, F.pmod(i, F.lit(9000)).cast("string"), F.lit("00")), F.concat(words, F.lit("2024"), F.lit("01")), F.concat(F.lit("2024-01-"), digits), F.repeat(F.lit("x1"), 12))
     named = pick("n", "token", "secret", "api_key", "password", "access_key", "auth_token", "client_secret", "credentials", "private_key", "TOKEN", "Bearer")
@@ -81,7 +81,7 @@ def template_findings(spark: SparkSession, rows: int = 4000) -> DataFrame:
     lead = pick("l", "the thing was ", "of for and ", "", "in this ", "config.", "export ", "und der ", "que la ")
     true = F.pmod(F.xxhash64(i, F.lit("y")), F.lit(2)) == 0
     # placeholders and numbers stay harmless behind the name of a secret
-    weak = F.pmod(F.xxhash64(i, F.lit("q")), F.lit(4)) == 0
+    weak = F.pmod(F.xxhash64(i, F.lit("q")), F.lit(2)) == 0
     value = F.when(true, secret).when(weak, pick("k", F.concat(words, F.lit("1234")), digits, F.repeat(F.lit("x1"), 12), F.concat(words, F.lit("00"), F.lit("01")))).otherwise(harmless)
     before = F.concat(lead, F.when(true | weak, named).otherwise(other), sign)
     quote = F.when(F.rlike(sign, F.lit("[\"']$")), F.lit("\" ")).otherwise(F.lit(" and "))
@@ -103,7 +103,7 @@ class Forest:
         return sum((walk(t) for t in self.trees[1:]), walk(self.trees[0])) / F.lit(float(len(self.trees)))
 
 
-def train(findings: DataFrame, trees: int = 15, depth: int = 5, most_findings: int = 20_000, seed: int = 11) -> Forest:
+def train(findings: DataFrame, trees: int = 20, depth: int = 6, most_findings: int = 20_000, seed: int = 11) -> Forest:
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
 
