@@ -1,0 +1,385 @@
+"""Operators against brute force on small, awkward tables: nulls, empties, long texts, ties, repeats, clashing columns."""
+
+import collections
+import hashlib
+import random
+import re
+import zlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from threadmill.llm import bpe, chat, decontaminate, hashing, html, near, quality, rules, secrets, sharding, warc
+from threadmill.llm.components import components
+
+WORDS = "the of and to in is that for it as was with be by on not he this are or house river stone light 12 a1 été straße x".split()
+SPACES = " \t\n\x0b\f\r"
+
+
+def make_docs(n=120, seed=7):
+    r = random.Random(seed)
+    base = [" ".join(r.choice(WORDS) + str(r.randrange(40)) for _ in range(r.randrange(1, 120))) for _ in range(n)]
+    rows = []
+    for i, t in enumerate(base):
+        rows.append((i, t, "en", f"src{i % 5}", len(t)))
+    for i in range(25):  # near and exact copies
+        words = base[i].split(" ")
+        for k in range(r.randrange(0, 3)):
+            words[r.randrange(len(words))] = f"new{k}"
+        rows.append((1000 + i, " ".join(words).upper() if i % 2 else " ".join(words), "en", "src0", 0))
+    rows += [(2000, None, None, None, None), (2001, "", "en", "src1", 0), (2002, " \n\t ", "en", "src1", 4), (None, "a null id", "en", "src2", 9), (2003, "one", "en", "src2", 3),
+             (2004, "one", "en", "src2", 3), (2004, "one", "en", "src2", 3), (2005, "a b\nc\x0bd é é " * 4000, "en", "src3", 5), (2006, "z" * 50000, "en", "src3", 5),
+             (2007, "Line one here\nLine one here\n\n \nx\n" * 6, "en", "src3", 5), (2008, "<|endoftext|> I'm  they'll\n\n\n x 　y", "en", "src3", 5)]
+    return rows
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    d = spark.createDataFrame(make_docs(), "doc_id long, text string, lang string, source string, n_chars long")
+    # extra columns whose names clash with inner and result columns
+    for c in ("score", "key", "n", "digest", "_h", "_w", "n_words", "shard", "ids", "size", "component_id", "found", "root", "node"):
+        d = d.withColumn(c, F.lit("clash"))
+    return d.repartition(5)
+
+
+def plain_words(t):
+    return re.findall(r"[^\x20\x09-\x0D]+", t or "")
+
+
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def test_word_hashes_follow_slices():
+    import pyarrow as pa
+
+    from threadmill.llm.common import utf8
+
+    texts = [t for _, t, *_ in make_docs()]
+    data, at = utf8(pa.array(texts))
+    v, o = hashing.shingle_sets(data, at, "plain", 4)
+    want = [len({tuple(w[i : i + 4]) for i in range(max(1, len(w) - 3))}) if (w := plain_words((t or "").translate(LOWER))) else 0 for t in texts]
+    assert (o[1:] - o[:-1]).tolist() == want
+    old, hashing._SLICE = hashing._SLICE, 37
+    try:
+        v2, o2 = hashing.shingle_sets(data, at, "plain", 4)
+    finally:
+        hashing._SLICE = old
+    assert (v == v2).all() and (o == o2).all()
+
+
+def jaccard_components(rows, k, num, den):
+    sets = []
+    for _, t, *_ in rows:
+        w = plain_words((t or "").translate(LOWER))
+        sets.append(frozenset(tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))) if w else frozenset())
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    links = [0] * len(rows)
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and sets[j] and den * len(sets[i] & sets[j]) >= num * len(sets[i] | sets[j]):
+                links[i] += 1
+                links[j] += 1
+                parent[find(i)] = find(j)
+    ids = collections.defaultdict(list)
+    for i, r in enumerate(rows):
+        if r[0] is not None:
+            ids[find(i)].append(r[0])
+    return [(r[0], len(sets[i]), min(ids[find(i)]) if ids[find(i)] else None, links[i]) for i, r in enumerate(rows)]
+
+
+@pytest.mark.parametrize("k,num", [(4, 85), (5, 80), (1, 60)])
+def test_jaccard_join_is_brute_force(spark, docs, k, num):
+    got = near.join(docs, near.Rule(k, num, 100)).select("doc_id", "n_shingles", "component_id", "n_links").collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, jaccard_components(make_docs(), k, num, 100)))
+
+
+def test_jaccard_join_of_a_large_group(spark):
+    """A group of more nodes than a block: pairs of blocks, sketches, copies."""
+    r = random.Random(2)
+    words = [f"w{i}" for i in range(90)]
+    rows = []
+    for i in range(620):
+        w = list(words)
+        for _ in range(r.randrange(0, 4)):
+            w[r.randrange(90)] = f"n{r.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near.join(d, near.Rule(4, 85, 100)).select("doc_id", "n_shingles", "component_id", "n_links").collect()
+    assert sorted(map(tuple, got)) == sorted(jaccard_components(rows, 4, 85, 100))
+
+
+def test_sketch_ties_never_lose_a_pair():
+    r, rule = random.Random(5), near.Rule(1, 80, 100)
+    import numpy as np
+
+    base = [r.randrange(2**63) for _ in range(300)]
+    sets = []
+    for size in (60, 61, 70, 75, 64, 128, 130, 150, 160):
+        s = set(base[:size])
+        for _ in range(size // 12):
+            s.discard(r.choice(base[:size]))
+        sets.append(np.array(sorted(s), np.uint64))
+    offs = np.cumsum([0] + [len(s) for s in sets])
+    sk = near.sketches(np.concatenate(sets), offs)
+    edges = near.ties([[i, len(s), b] for i, (s, b) in enumerate(zip(sets, sk))], rule)
+    comp = {i: i for i in range(len(sets))}
+
+    def find(x):
+        while comp[x] != x:
+            x = comp[x]
+        return x
+
+    for a, b in edges:
+        comp[find(a)] = find(b)
+    for i, s in enumerate(sets):
+        for j, t in enumerate(sets[:i]):
+            inter = len(set(s.tolist()) & set(t.tolist()))
+            if 100 * inter >= 80 * (len(s) + len(t) - inter):
+                assert find(i) == find(j)
+
+
+def test_components_of_a_long_path_and_a_hub(spark):
+    edges = [(i, i + 1) for i in range(60)] + [(1000, 1000 + i) for i in range(1, 200)] + [(5, 5)]
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert {got[i] for i in range(61)} == {0} and {got[1000 + i] for i in range(200)} == {1000}
+
+
+def test_winnowing_is_brute_force(spark, docs):
+    rows = make_docs()
+    pick = lambda t, a, b: " ".join(t.split(" ")[a:b])
+    items = [(1, pick(rows[3][1], 0, 20)), (2, pick(rows[4][1], 2, 16)), (3, "Line one, here line!"), (10, "one"), (11, None), (12, " ... "), (None, rows[5][1]),
+             (13, pick(rows[6][1], 0, 13)), (13, pick(rows[7][1], 0, 40)), (14, "une autre chose " * 9)]
+    pattern = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    words = lambda t: pattern.findall((t or "").translate(LOWER))
+    wins = collections.defaultdict(set)
+    for i, t in items:
+        w = words(t)
+        if w and i is not None:
+            n = min(13, len(w))
+            for k in range(len(w) - n + 1):
+                wins[tuple(w[k : k + n])].add(i)
+    want = []
+    for d, t, *_ in rows:
+        w, hit, found = words(t), set(), set()
+        for n in {len(x) for x in wins}:
+            for k in range(len(w) - n + 1):
+                if x := wins.get(tuple(w[k : k + n])):
+                    hit.update(range(k, k + n))
+                    found |= x
+        names = ",".join(sorted(map(str, found)))
+        want.append((d, len(w), len(hit), len(found), hashlib.sha256(names.encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)))
+    b = spark.createDataFrame(items, "item_id long, text string")
+    assert sorted(map(repr, map(tuple, decontaminate.op4(docs, b).collect()))) == sorted(map(repr, want))
+    old, decontaminate.BROADCAST_ROWS = decontaminate.BROADCAST_ROWS, 0  # the way of large benchmarks
+    try:
+        assert sorted(map(repr, map(tuple, decontaminate.op4(docs, b).collect()))) == sorted(map(repr, want))
+    finally:
+        decontaminate.BROADCAST_ROWS = old
+    assert decontaminate.op4(docs, b.limit(0)).agg(F.sum("n_hit")).first()[0] == 0
+    assert decontaminate.op4(docs.limit(0), b).count() == 0
+    by_text = dict(zip([r[0] for r in rows], rows))
+    for r in decontaminate.clean(docs.select("doc_id", "text", "n_chars"), b).collect():
+        t = by_text[r["doc_id"]][1]
+        hit = next(x for x in want if x[0] == r["doc_id"])
+        assert not hit[5] and (r["text"] == t if not hit[2] else len(words(r["text"])) == hit[1] - hit[2])
+
+
+def test_rules_count_and_judge(spark, docs):
+    got = {}
+    for r in rules.op7(docs).collect():
+        got.setdefault(r["doc_id"], []).append(r)
+    for d, t, *_ in make_docs():
+        w, t = plain_words(t), t or ""
+        c = collections.Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
+        rep = {j for i in range(len(w) - 7) if c[tuple(w[i : i + 8])] > 1 for j in range(i, i + 8)}
+        lines = [x for x in t.split("\n") if plain_words(x)]
+        want = (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(rep))
+        r = got[d][0]
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == want
+        assert r["base_failed"] == (len(w) < 20 or 100 * len(rep) > 30 * len(w)) and not (r["kept"] and r["base_failed"])
+    assert rules.op7(docs.limit(0)).count() == 0
+
+
+def test_rules_keep_prose_and_drop_junk(spark):
+    r = random.Random(1)
+    prose = [" ".join(r.choice(WORDS[:30]) + "abcdefgh"[r.randrange(8)] * r.randrange(3) for _ in range(80)) + "." for _ in range(60)]
+    junk = [" ".join(w + "###" for w in t.split(" ")) for t in prose[:8]] + [t.upper() + "!! " * 30 for t in prose[8:16]]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(prose + junk)], "doc_id long, text string")
+    kept = {x["doc_id"] for x in rules.op7(d).where("kept").collect()}
+    assert kept == set(range(60))
+
+
+def test_em_trusts_the_rule_that_agrees():
+    code = lambda v: sum(x * 3**j for j, x in enumerate(v))
+    counts = {code((0, 0, 0)): 40, code((1, 1, 0)): 50, code((1, 1, 1)): 100, code((0, 0, 1)): 10}
+    a = rules.estimate(counts, 3)
+    assert a[0] > a[2] and a[1] > a[2]
+
+
+def test_sharding_law(spark, docs):
+    rows = make_docs()
+    got = sharding.op8(docs).collect()
+    assert len(got) == len(rows)
+    by = collections.Counter(r["shard"] for r in got)
+    assert set(by) == set(range(8)) and max(by.values()) - min(by.values()) <= 1
+    for s in range(8):
+        assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(by[s]))
+    want = sorted((repr(d), len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for d, t, *_ in rows)
+    assert sorted((repr(r["doc_id"]), r["size"], r["text_crc32"]) for r in got) == want
+    assert {r["law"] for r in got} == {"rows"} and {r["grown_shard"] for r in got} == {None}
+    assert sharding.op8(docs.limit(0)).count() == 0
+
+
+def test_shards_match_the_mixture(spark):
+    d = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), "id").alias("text"), F.when(F.col("id") < 2400, "big").when(F.col("id") < 3900, "mid").otherwise(F.concat(F.lit("s"), "id")).alias("source"))
+    c = {(r["source"], r["shard"]): r["count"] for r in sharding.interleave(d, 8).groupBy("source", "shard").count().collect()}
+    # a shard has as many rows as the others, so what 100 sources of one row have too many of in one, the large ones give way for
+    assert all(abs(c["big", s] - 300) <= 8 and abs(c["mid", s] - 187.5) <= 6 for s in range(8))
+    two = sharding.interleave(d.where("source in ('big', 'mid')"), 8).groupBy("source", "shard").count().collect()
+    assert all(abs(r["count"] - (300 if r["source"] == "big" else 187.5)) <= 1.5 for r in two)
+
+
+def test_bpe_is_the_library(spark, docs):
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    r = random.Random(4)
+    extra = ["".join(chr(r.choice([r.randrange(32, 127), r.randrange(128, 0x3000), r.randrange(0x1F300, 0x1F6FF)])) for _ in range(3000)), "ab" * 3000, "\x1c a\x85b c"]
+    rows = make_docs() + [(3000 + i, t, "", "", 0) for i, t in enumerate(extra)]
+    d = docs.unionByName(spark.createDataFrame(rows[-3:], "doc_id long, text string, lang string, source string, n_chars long"), allowMissingColumns=True)
+    got = sorted(map(repr, map(tuple, bpe.op9(d).collect())))
+    want = []
+    for i, t, *_ in rows:
+        ids = tok.encode(t or "", add_special_tokens=False).ids
+        dec = tok.decode(ids, skip_special_tokens=False)
+        want.append(repr((i, len(ids), hashlib.sha256(b"".join(x.to_bytes(4, "little") for x in ids)).hexdigest(), hashlib.sha256(dec.encode()).hexdigest())))
+    assert got == sorted(want)
+    assert [x["decoded"] for x in bpe.encode(docs.where("doc_id = 2008"), P.path("byte_bpe_50k.json")).collect()] == [make_docs()[-1][1]]
+
+
+def test_bpe_pair_check_agrees_with_merging():
+    P = pytest.importorskip("public_tokenizers")
+    import numpy as np
+
+    b, r = bpe.load(P.path("byte_bpe_50k.json")), random.Random(9)
+    ids = sorted(b.id_of.values())
+    pairs = [(r.choice(ids), r.choice(ids)) for _ in range(3000)] + [(b.id_of[x], b.id_of[y]) for x in (b"a", b"aa", b"aaaa") for y in (b"a", b"aa", b"aaaa")]
+    got = b.compatible(np.array([x for x, _ in pairs]), np.array([y for _, y in pairs]))
+    assert got.tolist() == [b.merge(b.bytes_of[x] + b.bytes_of[y]) == [x, y] for x, y in pairs]
+
+
+def test_quality_learns_only_outside_the_fold(spark):
+    r = random.Random(3)
+    good = lambda: " ".join(r.choice(WORDS) for _ in range(60)) + ".\n"
+    bad = lambda: " ".join(r.choice(WORDS).upper() + "!!" for _ in range(60))
+    rows = [(i, good() if i % 3 else bad()) for i in range(400)] + [(900, ""), (901, None), (None, "x y z")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit("clash"))
+    y = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(400)] + [(None, 1)], "doc_id long, quality int")
+    out = quality.op3(d, y).collect()
+    assert len(out) == 403
+    for x in out:
+        assert 0 <= x["score"] <= 1 and x["predicted"] == int(x["score"] >= 0.5)
+        assert x["held_out"] == (zlib.crc32(str(x["doc_id"]).encode() if x["doc_id"] is not None else b"") % 3 == 1)
+    held = [x for x in out if x["held_out"] and x["doc_id"] is not None and x["doc_id"] < 400]
+    assert sum(x["predicted"] == int(x["doc_id"] % 3 > 0) for x in held) >= 0.97 * len(held)
+    # labels of the held-out fold have no effect
+    turned = y.withColumn("quality", F.when(quality.fold() == 1, 1 - F.col("quality")).otherwise(F.col("quality")))
+    assert sorted(map(repr, quality.op3(d, turned).collect())) == sorted(map(repr, out))
+    assert quality.op3(d, y.limit(0)).where("score < 0 or score > 1").count() == 0 and quality.op3(d.limit(0), y).count() == 0
+
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p><p>no";</script></head><body><header><h1>Site</h1></header><nav><a href=/>the of and</a></nav>
+<div class="cookie-notice">We use the cookies of the site and that is it for you</div><!-- <p>no</p> --><article><h1>Head &amp; more</h1><p><b>First   par&nbsp;a<br>b<p>Wh.</p><div class=ad>Buy the thing of the day and be the first in it</div>
+<p>Last &lt;one&gt; &#65;&am</p></article><section id="comments"><p>I think that the article is the best of all and it was for us</p></section><form>x</form><footer>&copy; y</footer>"""
+
+
+def test_html_main_text(spark):
+    assert html.main_text(PAGE) == "Head & more\nFirst par a b\nWh.\nLast <one> A&am"
+    long = "The house on the hill was the first of the houses that the man had seen in the land, and it was as large as the others were in the town below. "
+    plain = f"<body><ul><li><a href=x>Home of the site</a></ul><h2>About it</h2><div>{long}</div><p>Short.</p><div>{long}</div><p>Terms</p><div><a href=a>one</a> <a href=b>two</a></div>"
+    assert html.main_text(plain).split("\n")[:4] == ["About it", long.strip(), "Short.", long.strip()]
+    rows = [(1, "u", PAGE), (2, None, None), (3, "u", ""), (None, "u", "<p"), (4, "u", "<script>x"), (1, "u", PAGE), (5, "u", "<article>" + "<p>y</p>" * 20000)]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1))
+    out = html.op1(d).collect()
+    assert len(out) == 7 and all(r["n_chars"] == len(r["text"]) for r in out)
+    assert [r["text"] for r in out if r["page_id"] == 2] == [""] and max(r["n_chars"] for r in out) == 39999
+
+
+def test_warc_round_trip_and_lookup(spark):
+    rows = [(1, "http://A.example.com/x", "q" * 2000), (2, "http://b.example.com/y?z=1#f", "q" * 2000), (3, None, None), (4, "https://c.org:8080/é \n", "é" * 600), (5, "http://b.example.com/y?z=1", "short"),
+            (6, "x", "short"), (7, "http://b.example.com/y?z=1", "é" * 600)] + [(100 + i, f"http://h{i % 9}.net/{i}", f"page {i}\r\n\r\n") for i in range(40)]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit(0)).repartition(3)
+    store = warc.write(d, block_lines=4)
+    got = {r["page_id"]: r for r in store.captures().collect()}
+    last = {}
+    for i, _, h in rows:
+        last[h] = max(i, last.get(h, i))
+    for i, u, h in rows:
+        raw = (h or "").encode()
+        again = len(raw) >= 1000 and last[h] != i
+        r = got[i]
+        assert (r["payload_bytes"], r["payload_digest"]) == (len(raw), hashlib.sha1(raw).hexdigest())
+        assert (r["record_type"], r["refers_to"]) == (("revisit", last[h]) if again else ("response", None))
+    parts = store.parts()
+    want = collections.defaultdict(list)
+    for i, u, _ in rows:
+        want[warc.url_key(u)].append(str(i))
+    for i, u, _ in rows:
+        assert sorted(c.page_id for c in store.lookup(u, parts)) == sorted(want[warc.url_key(u)])
+    assert store.lookup("http://nowhere.test/", parts) == [] and warc.op2(d.limit(0)).count() == 0
+    assert warc.url_key("https://u:p@www.Example.com:443/a b?c#d") == "com,example,www)/a%20b?c"
+    old, warc.BROADCAST_ROWS = warc.BROADCAST_ROWS, 0
+    try:
+        assert sorted(map(repr, warc.op2(d).select("page_id", "record_type", "refers_to").collect())) == sorted(map(repr, [store_row(r) for r in got.values()]))
+    finally:
+        warc.BROADCAST_ROWS = old
+
+
+def store_row(r):
+    from pyspark.sql import Row
+
+    return Row(page_id=r["page_id"], record_type=r["record_type"], refers_to=r["refers_to"])
+
+
+def test_quotes_link_to_their_message(spark):
+    m = [(1, 0, "user", "Hello there\nHow are you"), (1, 1, "assistant", "On Monday X wrote:\n> How  are YOU\nFine"), (1, 2, "user", "> Hello there\n>> nothing\nAgain"), (1, 3, "user", "no quote"), (1, 7, "user", "> fine\n>> how are you\nGood"),
+         (2, 0, "user", None), (2, 1, "user", "> Fine\n"), (None, 1, "user", "> Fine"), (3, None, "user", "x"), (4, 0, "user", "same"), (4, 1, "user", "same"), (4, 2, "user", "> same\nyes")]
+    m += [(5, i, "user", f"turn {i}") for i in range(700)]
+    d = spark.createDataFrame(m, "conv_id long, turn long, role string, text string").withColumn("source", F.lit(1))
+    got = {(r["conv_id"], r["turn"]): r for r in chat.link(d).collect()}
+    assert len(got) == len(m)
+    assert [got[1, t]["parent_turn"] for t in (0, 1, 2, 3, 7)] == [None, 0, 0, 2, 1] and [got[1, t]["depth"] for t in (0, 1, 2, 3, 7)] == [0, 1, 1, 2, 2]
+    assert got[1, 1]["text"] == "Fine" and got[1, 7]["text"] == "Good" and got[1, 2]["n_quoted"] == 2 and got[1, 2]["n_linked"] == 1
+    assert got[4, 2]["parent_turn"] == 1 and got[None, 1]["depth"] == 0 and got[5, 699]["depth"] == 699 and got[5, 699]["root_turn"] == 0
+    assert chat.op5(d.limit(0)).count() == 0
+
+
+def test_secrets_are_found_and_masked(spark):
+    hexes = [hashlib.sha1(str(i).encode()).hexdigest() for i in range(30)]
+    rows = [(i, f'das token = "{h}" und so weiter', "src0") for i, h in enumerate(hexes)]
+    rows += [(100 + i, f"see commit {h} of it", "src0") for i, h in enumerate(hexes)] + [(200, "card 9807915762804490 ok", "src0"), (201, None, None), (202, "", "a"), (203, "api_key: your-api-key-here-1234 yes", "docs/x.md"),
+             (204, "-----BEGIN RSA PRIVATE KEY-----\nabc/d+1\n-----END RSA PRIVATE KEY----- tail", "src0"), (205, f'secret: "{hexes[0]}", password="{hexes[1]}"', "x"), (206, "thanedblehenothing " * 3000, "x")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("value", F.lit(1)).withColumn("n_chars", F.char_length("text"))
+    got = {r["doc_id"]: r for r in secrets.op10(d).collect()}
+    assert all(got[i]["n_secrets"] == 1 for i in range(30)) and sum(got[100 + i]["n_secrets"] for i in range(30)) <= 1
+    assert got[200]["n_secrets"] == got[201]["n_secrets"] == got[203]["n_secrets"] == got[206]["n_secrets"] == 0 and got[204]["n_secrets"] == 1 and got[205]["n_secrets"] == 2
+    out = {r["doc_id"]: r for r in secrets.redact(d).collect()}
+    assert out[0]["text"] == 'das token = "[SECRET]" und so weiter' and out[0]["n_chars"] == len(out[0]["text"]) and out[205]["text"] == 'secret: "[SECRET]", password="[SECRET]"'
+    assert out[204]["text"] == "[SECRET] tail" and out[200]["text"] == rows[60][1] and out[201]["text"] is None
+    assert secrets.op10(d.limit(0)).count() == 0
+
+
+def test_forest_on_findings_it_has_not_seen(spark):
+    from threadmill.llm.common import staged
+
+    f = staged(secrets.template_findings(spark, 3000).withColumn("i", F.monotonically_increasing_id()), "findings")
+    forest = secrets.train(f.where("i % 2 = 0"))
+    rest = f.where("i % 2 = 1").withColumn("x", secrets.features(F.col("value"), F.col("before"), F.col("after"), F.col("path"))).withColumn("hit", (forest.probability(F.col("x")) >= 0.5).cast("double"))
+    assert rest.agg(F.avg((F.col("hit") == F.col("is_secret")).cast("int"))).first()[0] > 0.97
