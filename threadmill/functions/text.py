@@ -149,7 +149,7 @@ def scrub_text(text: Column, globs: list[str]) -> Column:
     """Path-shaped tokens under an excluded path become the marker; the text is cut at its tokens and glued again."""
     tokens, gaps = _tokens(text)
     said = F.transform(tokens, lambda t: F.when(path_excluded(t, globs), F.lit(P.EXCLUDED)).otherwise(t))
-    return F.array_join(F.flatten(F.transform(gaps, lambda g, i: F.array(g, F.coalesce(F.get(said, i), F.lit(""))))), "")
+    return F.array_join(F.zip_with(gaps, said, lambda g, t: F.concat(g, F.coalesce(t, F.lit("")))), "")
 
 
 def n_scrubbed_text(text: Column, globs: list[str]) -> Column:
