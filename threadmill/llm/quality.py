@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import hash60, small_batches
 
 FOLDS, HELD_OUT_FOLD = 3, 1
-N_FEATURES = 8
+N_FEATURES = 6
 
 
 @dataclass
@@ -68,9 +68,9 @@ def features(sizes: np.ndarray) -> np.ndarray:
     n = np.maximum(n, 1)
     size = some * np.log(n) / 10
     difference = some * np.clip((bad - good) / np.maximum(plain, 1), -0.5, 0.5)
-    # running text gets shorter with its length at a known pace; what is far below that repeats itself
-    ratio, alone = (some * (np.log(np.maximum(x, 1) / n) + 0.08 * np.log(n)) for x in (good, plain))
-    return np.stack([np.ones_like(n), difference, difference * size, size, ratio, ratio**2, alone, alone**2], 1)
+    # running text gets shorter with its length at a known pace; what is far below that without a dictionary repeats itself
+    alone = some * (np.log(np.maximum(plain, 1) / n) + 0.08 * np.log(n))
+    return np.stack([np.ones_like(n), difference, difference * size, size, alone, alone**2], 1)
 
 
 def fold(doc_id: str = "doc_id"):
@@ -97,7 +97,7 @@ def dictionary(texts: list[bytes], size: int) -> bytes:
     return b"".join(t[:share] for t in texts)[-size:]
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 40) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, rounds: int = 40) -> np.ndarray:
     """Newton steps; the two classes weigh the same, so that 0.5 is the border between them."""
     w = np.zeros(x.shape[1])
     share = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * len(y)
