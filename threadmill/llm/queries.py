@@ -25,6 +25,7 @@ QUERIES = {
     "op8_sharding": lambda s, d: sharding.op8(read(s, d, "documents")),
 }
 ORACLES: dict[str, str] = {
+    "op8_sharding": sharding.OP8_SQL,
     "op2_capture_index": warc.OP2_SQL,
     "op4_winnowing": decontaminate.OP4_SQL,
     "op5_quotation_links": chat.OP5_SQL,

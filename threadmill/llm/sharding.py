@@ -79,3 +79,19 @@ def op8(docs: DataFrame) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"), "source",
     )
+
+
+#: The CRC is computed byte by byte from its defining polynomial, as DuckDB has no function for it.
+OP8_SQL = """
+WITH RECURSIVE bits(k, c, i) AS (SELECT range, range, 0 FROM range(256) UNION ALL SELECT k, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i + 1 FROM bits WHERE i < 8),
+tab AS (SELECT list(c ORDER BY k) AS t FROM bits WHERE i = 8),
+raw AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
+sized AS (SELECT doc_id, source, strlen(text) + 1 AS size, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(
+   regexp_replace(hex(encode(text)), '(..)', '\\1 ', 'g'), ' ')[:-2], lambda h: ('0x' || h)::BIGINT)), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295::BIGINT) AS text_crc32 FROM raw, tab),
+hashed AS (SELECT *, ('0x' || md5(concat_ws('|', '17', coalesce(CAST(doc_id AS VARCHAR), '-'), CAST(text_crc32 AS VARCHAR), CAST(size AS VARCHAR)))[1:15])::BIGINT AS h,
+   (('0x' || md5(concat_ws('|', '18', coalesce(source, '-')))[1:15])::BIGINT % 1073741824)::DOUBLE / 1073741824.0::DOUBLE AS u FROM sized),
+placed AS (SELECT *, (row_number() OVER (PARTITION BY source ORDER BY h % 512, h, doc_id NULLS FIRST, text_crc32, size) - 1 + u) / count(*) OVER (PARTITION BY source) AS f FROM hashed),
+seq AS (SELECT *, row_number() OVER (ORDER BY f, h, source NULLS FIRST, doc_id NULLS FIRST, text_crc32, size) - 1 AS p, count(*) OVER () // 8 AS small, count(*) OVER () % 8 AS extra FROM placed),
+cut AS (SELECT *, CASE WHEN p < extra * (small + 1) THEN p // (small + 1) ELSE extra + (p - extra * (small + 1)) // greatest(small, 1) END AS shard FROM seq)
+SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'rows' AS law, shard::INTEGER AS shard, (p - shard * small - least(shard, extra))::BIGINT AS slot, NULL::INTEGER AS grown_shard, source FROM cut
+"""
