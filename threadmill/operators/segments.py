@@ -83,7 +83,7 @@ def close(s: Column, seq: Column, summary: Column | None) -> Column:
     """A pending segment becomes done with the summary's five fields, or an error where there is none."""
     fields = F.struct(*(F.coalesce(summary[k], F.lit("")).alias(k) for k in P.SUMMARY_FIELDS)) if summary is not None else None
     state = "done" if summary is not None else "error"
-    names = [f.split(":")[0] for f in ("seq", "event", "trigger", "start", "end", "bytes", "at")]
+    names = ["seq", "event", "trigger", "start", "end", "bytes", "at"]
     return F.transform(s, lambda x: F.when((x["seq"] == seq) & (x["state"] == "pending"), F.struct(
         *(x[n].alias(n) for n in names), F.lit(state).alias("state"), (fields if fields is not None else x["summary"]).alias("summary"))).otherwise(x))
 
