@@ -37,8 +37,9 @@ from . import hashing
 from .common import arrow_rows, bitmap, by_bytes, in_bitmap, staged, utf8
 from .components import components
 
-#: Documents of a block; commonplaces kept at most, and their least share of a batch; postings merged by a heap at most.
-BLOCK, COMMON, COMMON_SHARE, HEAP = 256, 20_000, 0.01, 2048
+#: Documents of a block; commonplaces kept at most, and their least share of a batch; postings merged by a heap at most;
+#: nodes that meet in one bucket and are compared by sketch (more are tied without a look, which only makes groups larger).
+BLOCK, COMMON, COMMON_SHARE, HEAP, COMPARED = 256, 20_000, 0.01, 2048, 4096
 _MU = 0.0085  # weight of a probe against a merge step in DivideSkip
 
 
@@ -58,21 +59,34 @@ class Rule:
     def level(self, n: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.levels, n, "right") - 1
 
+    def differ(self, level: np.ndarray) -> np.ndarray:
+        """Values in which two sets of a level and similar enough differ at most."""
+        return 2 * (self.levels[level + 1] - 1) * (self.den - self.num) // (self.den + self.num)
+
+    @property
+    def least_strong(self) -> int:
+        """Values, commonplaces not counted, that a bucket must hold: two, where buckets are full enough for that."""
+        return 2 if (self.num / self.den) ** 2 * (self.den + self.num) >= 8 * (self.den - self.num) else 1
+
     def buckets(self, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Number of buckets and slack of a level."""
+        """Number of buckets and slack of a level: a tenth more than has to be, so that partners share several."""
         most = self.levels[level + 1] - 1
-        differ = 2 * most * (self.den - self.num) // (self.den + self.num)
+        differ = self.differ(level)
         load = most * (self.num / self.den) ** 2 / (differ + 1.0)
         share = np.zeros(len(load))
-        for _ in range(8):  # share of buckets that hold fewer than two shingles, at the least load
+        for _ in range(8):  # share of buckets that are too empty, at the least load
             at = load * (1 - share)
-            share = np.minimum(0.6, 1.4 * np.exp(-at) * (1 + at))
-        m = np.ceil((differ + 5) / (1 - share)).astype(np.int64)
+            share = np.minimum(0.6, 1.4 * np.exp(-at) * (1 + at * (self.least_strong - 1)))
+        m = np.ceil((1.1 * differ + 5) / (1 - share)).astype(np.int64)
         return m, m - differ - 1
 
     def links(self, both: np.ndarray, n: int, others: np.ndarray) -> np.ndarray:
         return self.den * both >= self.num * (n + others - both)
 
+    def apart(self, n: int, others: np.ndarray) -> np.ndarray:
+        """Values in which sets of these sizes differ at most if they link."""
+        return (n + others) * (self.den - self.num) // (self.den + self.num)
+
     def least_overlap(self, n: int, smallest: int) -> int:
         other = max(smallest, -(-self.num * n // self.den))
         return max(1, -(-self.num * (n + other) // (self.num + self.den)))
@@ -97,6 +111,18 @@ def _sets(b: pa.RecordBatch, column: int, k: int, keep: np.ndarray | None = None
         yield i, values, offs
 
 
+def sketches(values: np.ndarray, offs: np.ndarray, rule: Rule) -> list[bytes]:
+    """Parity sketch of each set: a power of two of bits, at least 64, and enough that those of unlike sets, which differ in
+    nearly half of their bits, differ in more than linked sets may in values."""
+    n = np.diff(offs)
+    bits = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(3.5 * rule.apart(n, n), 1))).astype(np.int64))
+    base = np.concatenate([[0], np.cumsum(bits)])
+    rows = np.repeat(np.arange(len(n)), n)
+    place = (hashing.mix(values) & (bits[rows] - 1).astype(np.uint64)).astype(np.int64)
+    packed = np.packbits((np.bincount(base[rows] + place, minlength=base[-1]) & 1).astype(np.uint8), bitorder="little").tobytes()
+    return [packed[base[i] // 8 : base[i + 1] // 8] for i in range(len(n))]
+
+
 def documents(docs: DataFrame, rule: Rule) -> tuple[DataFrame, np.ndarray]:
     """doc_id, n and the set's digest (null: empty) of every row, and the sorted commonplaces."""
 
@@ -106,25 +132,26 @@ def documents(docs: DataFrame, rule: Rule) -> tuple[DataFrame, np.ndarray]:
                 n = np.diff(offs)
                 digests = [_digest(values[offs[r] : offs[r + 1]]) if n[r] else None for r in range(len(n))]
                 nulls = [None] * len(n)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, len(n)), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(_short(digests), pa.int64()), pa.array(nulls, pa.int64()), pa.array(nulls, pa.int64())], names)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, len(n)), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(_short(digests), pa.int64()), pa.array(sketches(values, offs, rule), pa.binary()), pa.array(nulls, pa.int64()), pa.array(nulls, pa.int64())], names)
                 v, c = np.unique(values, return_counts=True)
                 often = c >= max(4, COMMON_SHARE * len(n))
                 v, c = v[often], c[often]
                 if len(v):
                     ids = pa.nulls(len(v), b.column(0).type)
-                    yield pa.RecordBatch.from_arrays([ids, pa.array([None] * len(v), pa.int64()), pa.array([None] * len(v), pa.binary()), pa.array([None] * len(v), pa.int64()), pa.array(v.view(np.int64)), pa.array(c, pa.int64())], names)
+                    yield pa.RecordBatch.from_arrays([ids, pa.array([None] * len(v), pa.int64()), pa.array([None] * len(v), pa.binary()), pa.array([None] * len(v), pa.int64()), pa.array([None] * len(v), pa.binary()), pa.array(v.view(np.int64)), pa.array(c, pa.int64())], names)
 
-    names = ["doc_id", "n", "digest", "node", "common", "times"]
+    names = ["doc_id", "n", "digest", "node", "sketch", "common", "times"]
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n bigint, digest binary, node bigint, common bigint, times bigint")
+    rows = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n bigint, digest binary, node bigint, sketch binary, common bigint, times bigint")
     rows = staged(rows, "near-docs")
     top = rows.where("common is not null").groupBy("common").agg(F.sum("times").alias("t")).orderBy(F.desc("t"), "common").limit(COMMON)
     common = np.sort(np.array([r["common"] for r in top.collect()], np.int64).view(np.uint64))
-    return rows.where("n is not null").select("doc_id", "n", "digest", "node"), common
+    return rows.where("n is not null").select("doc_id", "n", "digest", "node", "sketch"), common
 
 
-def signatures(values: np.ndarray, offs: np.ndarray, rule: Rule, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, signature) of the sets' buckets."""
+def signatures(values: np.ndarray, offs: np.ndarray, rule: Rule, common: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, signature, need) of the sets' buckets. need: twice the number of the row's signatures of this level that a partner
+    shares at least, plus the step of the level, so that it also tells the two levels of a row apart."""
     n = np.diff(offs)
     rows = np.repeat(np.arange(len(n)), n)
     plain = np.ones(len(values), bool)
@@ -132,10 +159,10 @@ def signatures(values: np.ndarray, offs: np.ndarray, rule: Rule, common: np.ndar
         k = np.minimum(np.searchsorted(common, values), len(common) - 1)
         plain = common[k] != values
     scrambled = hashing.mix(values ^ np.uint64(0x5851F42D4C957F2D))
-    out_row, out_sig = [], []
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for step in (0, 1):
-        level = rule.level(n) + step
-        m, slack = rule.buckets(np.maximum(level, 0))
+        level = rule.level(np.maximum(n, 1)) + step
+        m, slack = rule.buckets(level)
         # values are sorted within a row, so a bucket's values stand together
         bucket = ((values >> np.uint64(32)) * m[rows].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
         first = np.ones(len(values), bool)
@@ -144,26 +171,26 @@ def signatures(values: np.ndarray, offs: np.ndarray, rule: Rule, common: np.ndar
         if not len(start):
             continue
         row, place = rows[start], bucket[start]
-        strong = np.add.reduceat(plain.astype(np.int64), start) >= 2
+        strong = np.add.reduceat(plain.astype(np.int64), start) >= rule.least_strong
         total = np.add.reduceat(scrambled, start)
         weak = m - np.bincount(row, weights=strong, minlength=len(n)).astype(np.int64)
         everything = weak > slack
+        need = 2 * (m - rule.differ(level) - np.where(everything, 0, weak)) + step
         salt = hashing.mix((level[row].astype(np.uint64) << np.uint64(40)) + place.astype(np.uint64))
         keep = strong | everything[row]
-        out_row.append(row[keep])
-        out_sig.append(hashing.mix(total[keep] + salt[keep]))
+        out.append((row[keep], hashing.mix(total[keep] + salt[keep]), need[row[keep]]))
         # nodes with too many weak buckets emit their empty ones too
         for r in np.flatnonzero(everything & (n > 0)):
             empty = np.setdiff1d(np.arange(m[r]), place[row == r], assume_unique=True)
-            out_row.append(np.full(len(empty), r))
-            out_sig.append(hashing.mix(hashing.mix((np.uint64(level[r]) << np.uint64(40)) + empty.astype(np.uint64)) + np.uint64(1)))
-    if not out_row:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return np.concatenate(out_row), np.concatenate(out_sig)
+            sig = hashing.mix(hashing.mix((np.uint64(level[r]) << np.uint64(40)) + empty.astype(np.uint64)) + np.uint64(1))
+            out.append((np.full(len(empty), r), sig, np.full(len(empty), need[r])))
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def candidate_groups(docs: DataFrame, rule: Rule, common: np.ndarray) -> DataFrame:
-    """(node, root): nodes (short digests) that meet in a bucket, by group."""
+def candidate_groups(docs: DataFrame, nodes: DataFrame, rule: Rule, common: np.ndarray) -> DataFrame:
+    """(node, root): nodes (short digests) that may link, by group."""
     spark = docs.sparkSession
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,39 +198,116 @@ def candidate_groups(docs: DataFrame, rule: Rule, common: np.ndarray) -> DataFra
         for b in batches:
             for _, values, offs in _sets(b, 0, rule.k):
                 n = np.diff(offs)
-                nodes = np.array(_short([_digest(values[offs[r] : offs[r + 1]]) if n[r] else b"\0" * 8 for r in range(len(n))]), np.int64)
+                own = np.array(_short([_digest(values[offs[r] : offs[r + 1]]) if n[r] else b"\0" * 8 for r in range(len(n))]), np.int64)
                 # copies within a task emit once
-                new = np.array([x not in seen and n[r] > 0 and not seen.add(x) for r, x in enumerate(nodes.tolist())], bool)
+                new = np.array([x not in seen and n[r] > 0 and not seen.add(x) for r, x in enumerate(own.tolist())], bool)
                 if len(seen) > 1_000_000:
                     seen.clear()
-                row, sig = signatures(values, offs, rule, common)
+                row, sig, need = signatures(values, offs, rule, common)
                 keep = new[row]
-                yield pa.RecordBatch.from_arrays([pa.array(sig[keep].view(np.int64)), pa.array(nodes[row[keep]])], ["sig", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(sig[keep].view(np.int64)), pa.array(own[row[keep]]), pa.array(need[keep], pa.int32())], ["sig", "node", "need"])
 
-    def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hub_sig, hub = None, 0
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows, in the order of sig and node, whose sig more than one node has; each node once."""
+        held: list[np.ndarray] | None = None  # the last row of the batch before, and whether it has been let through
+        through = False
         for b in batches:
-            sig, node = b.column(0).to_numpy(), b.column(1).to_numpy()
+            cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+            if held is not None:
+                cols = [np.concatenate([h, c]) for h, c in zip(held, cols)]
+            sig, node, _ = cols
             if not len(sig):
                 continue
-            first = np.ones(len(sig), bool)
-            first[1:] = sig[1:] != sig[:-1]
-            start = np.flatnonzero(first)
-            of = np.repeat(node[start], np.diff(np.append(start, len(sig))))
-            if hub_sig == sig[0]:  # the group began in an earlier batch
-                of[: start[1] if len(start) > 1 else len(sig)] = hub
-            hub_sig, hub = sig[-1], of[-1]
-            differ = of != node
-            if differ.any():
-                pairs = np.unique(np.stack([node[differ], of[differ]], 1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-
-    sigs = docs.select("text").mapInArrow(emit, "sig bigint, node bigint")
-    met = sigs.repartition("sig").sortWithinPartitions("sig", "node")
-    with arrow_rows(spark, 16_384):
-        # two steps, as the scan of texts needs small batches and the stream of pairs large ones
-        edges = staged(met.mapInArrow(stars, "a bigint, b bigint").distinct(), "near-edges")
-    return staged(components(edges), "near-groups")
+            same = np.zeros(len(sig) + 1, bool)
+            same[1:-1] = sig[1:] == sig[:-1]
+            copy = np.zeros(len(sig), bool)
+            copy[1:] = same[1:-1] & (node[1:] == node[:-1])
+            other = same[1:-1] & ~copy[1:]  # a row that meets the one before it
+            meets = np.zeros(len(sig), bool)
+            group = np.cumsum(~same[:-1])
+            met = np.zeros(group[-1] + 1, bool)
+            met[group[1:][other]] = True
+            if through and held is not None:
+                met[group[0]] = True
+            meets = met[group] & ~copy
+            if through and held is not None:
+                meets[0] = False
+            # the last group may go on in the next batch: hold back its first row if it stands alone so far
+            through = bool(met[group[-1]])
+            held = [c[-1:] for c in cols]
+            if meets.any():
+                yield pa.RecordBatch.from_arrays([pa.array(c[meets]) for c in cols], ["sig", "node", "need"])
+
+    def tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sig, held = None, []
+        for b in batches:
+            edges: list[tuple[int, int]] = []
+            for s, *x in zip(*(c.to_pylist() for c in b.columns)):
+                if s != sig:
+                    edges += ties(held, rule)
+                    sig, held = s, []
+                held.append(x)
+            if edges:
+                yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], ["a", "b"])
+        if edges := ties(held, rule):
+            yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    sigs = docs.select("text").mapInArrow(emit, "sig bigint, node bigint, need int")
+    met = sigs.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(meet, "sig bigint, node bigint, need int")
+    # texts are scanned in small batches; the stream of signatures could take larger ones
+    met = staged(met, "near-met")
+    enough = met.groupBy("node", "need").agg(F.count("*").alias("c")).where(F.col("c") >= F.shiftright("need", 1)).select("node", "need")
+    # a bitmap lets some more through, which the sketches drop, and spares a shuffle of all that met
+    enough = staged(enough.select(F.xxhash64("node", "need").alias("h")), "near-enough")
+    seen = bitmap(enough, "h", int(np.clip(np.ceil(np.log2(64 * enough.count() + 1)), 16, 26)))
+
+    def stay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = in_bitmap(seen, b.column(0).to_numpy())
+            if keep.any():
+                yield pa.RecordBatch.from_arrays([pa.array(b.column(c).to_numpy()[keep]) for c in (1, 2)], ["sig", "node"])
+
+    kept = met.select(F.xxhash64("node", "need").alias("h"), "sig", "node").mapInArrow(stay, "sig bigint, node bigint")
+    sketch = nodes.groupBy("node").agg(F.max("n").alias("n"), F.min("sketch").alias("sketch"))
+    kept = kept.join(sketch.hint("merge"), "node").select("sig", "node", "n", "sketch")
+    edges = kept.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(tie, "a bigint, b bigint").distinct()
+    return staged(components(staged(edges, "near-edges")), "near-groups")
+
+
+def ties(rows: list[list], rule: Rule) -> list[tuple[int, int]]:
+    """A spanning forest of the nodes (node, n, sketch) whose sketches differ in no more bits than linked sets in values."""
+    if len(rows) < 2:
+        return []
+    if len(rows) > COMPARED:
+        return [(x[0], rows[0][0]) for x in rows[1:]]
+    rows = sorted(rows, key=lambda x: (len(x[2]), x[1], x[0]))
+    sizes = np.array([x[1] for x in rows])
+    words = [np.frombuffer(x[2], np.uint64) for x in rows]
+    width = np.array([len(w) for w in words])
+    free, out = np.ones(len(rows), bool), []
+    # grow one tree after the other: what a node ties to leaves the pool
+    for root in range(len(rows)):
+        if not free[root]:
+            continue
+        free[root] = False
+        todo = [root]
+        while todo:
+            i = todo.pop()
+            pool = np.flatnonzero(free)
+            for w in np.unique(width[pool]):
+                at = pool[width[pool] == w]
+                mine, theirs = words[i], np.stack([words[j] for j in at])
+                # the longer sketch folds onto the shorter: halves are added modulo two
+                while len(mine) > theirs.shape[1]:
+                    mine = mine[: len(mine) // 2] ^ mine[len(mine) // 2 :]
+                while theirs.shape[1] > len(mine):
+                    theirs = theirs[:, : theirs.shape[1] // 2] ^ theirs[:, theirs.shape[1] // 2 :]
+                differ = np.bitwise_count(theirs ^ mine).sum(1)
+                near = at[differ <= rule.apart(int(sizes[i]), sizes[at])]
+                free[near] = False
+                todo += near.tolist()
+                out += [(rows[i][0], rows[j][0]) for j in near.tolist()]
+    return out
 
 
 class Lists:
@@ -291,9 +395,9 @@ def join(docs: DataFrame, rule: Rule) -> DataFrame:
     spark = docs.sparkSession
     with arrow_rows(spark, 512):
         rows, common = documents(docs, rule)
-        groups = candidate_groups(docs, rule, common)
-        nodes = rows.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.max("n").alias("n"), F.max("node").alias("node"))
+        nodes = rows.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.max("n").alias("n"), F.max("node").alias("node"), F.min("sketch").alias("sketch"))
         nodes = staged(nodes, "near-nodes")
+        groups = candidate_groups(docs, nodes, rule, common)
         found = staged(nodes.join(groups, "node").select("digest", "first", "copies", "n", "root"), "near-found")
 
         # one task for a small group, pairs of blocks for a large one
@@ -335,9 +439,9 @@ def join(docs: DataFrame, rule: Rule) -> DataFrame:
 
 
 def candidate_sets(docs: DataFrame, dealt: DataFrame, rule: Rule) -> DataFrame:
-    """digest and set of the nodes in groups. A bitmap of their first documents' ids spares the other texts the hashing."""
+    """digest and set of the nodes in groups, and of a few more. A bitmap of their first documents' ids spares the other texts the hashing."""
     marked = dealt.select(F.xxhash64("first").alias("h"))
-    bits = int(np.clip(np.ceil(np.log2(16 * marked.count() + 1)), 16, 26))
+    bits = int(np.clip(np.ceil(np.log2(256 * marked.count() + 1)), 16, 26))
     seen = bitmap(marked, "h", bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -349,7 +453,7 @@ def candidate_sets(docs: DataFrame, dealt: DataFrame, rule: Rule) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in some], pa.binary()), pa.array([s.tobytes() for s in some], pa.binary())], ["digest", "set"])
 
     sets = docs.select(F.xxhash64("doc_id").alias("h"), "text").mapInArrow(run, "digest binary, set binary")
-    return sets.join(dealt.select("digest"), "digest", "left_semi").groupBy("digest").agg(F.min("set").alias("set"))
+    return sets.groupBy("digest").agg(F.min("set").alias("set"))
 
 
 def _searcher(rule: Rule):
