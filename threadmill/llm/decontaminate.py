@@ -17,6 +17,7 @@ no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -124,7 +125,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, k: in
     stats = prints.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("item_words") + 48), F.lit(0)).alias("b")).collect()[0]
     # at most window - 1 numbers
     short = sorted(r[0] for r in prints.where(F.col("item_n") < window).select("item_n").distinct().collect())
-    bits = int(np.clip(np.ceil(np.log2(16 * stats["n"] + 1)), 16, 26))
+    # sparse enough that few documents without a shared gram pass; 8 MB at most
+    bits = int(np.clip(np.ceil(np.log2(4096 * stats["n"] + 1)), 16, 26))
     seen = bitmap(prints, "fp", bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,7 +188,32 @@ def n_hit(spans: str):
         (a["n"] + F.greatest(s["end"] - F.greatest(a["end"], s["start"]), F.lit(0))).cast("long").alias("n"), F.greatest(a["end"], s["end"]).alias("end")), lambda a: a["n"])
 
 
-WORD = "[0-9A-Za-z\\x{80}-\\x{10FFFF}]+"
+WORD = re.compile("[0-9A-Za-z\x80-\U0010ffff]+")
+
+
+def cut_out(text: str, spans: list[tuple[int, int]]) -> str:
+    """``text`` without the words inside the sorted spans; what stands between words stays."""
+    out, at, k = [], 0, 0
+    for i, m in enumerate(WORD.finditer(text)):
+        while k < len(spans) and spans[k][1] <= i:
+            k += 1
+        if k == len(spans):
+            break
+        if spans[k][0] <= i:
+            out.append(text[at : m.start()])
+            at = m.end()
+    return "".join(out) + text[at:]
+
+
+def merged(spans: list[dict]) -> list[tuple[int, int]]:
+    """Sorted spans as disjoint ones."""
+    out: list[tuple[int, int]] = []
+    for s in spans:
+        if out and s["start"] <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], s["end"]))
+        else:
+            out.append((s["start"], s["end"]))
+    return out
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = 13, k: int = 8, least_share: int = 20) -> DataFrame:
@@ -197,17 +224,24 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = 13, k: int = 8, l
     names = docs.columns
     d = contamination(docs, benchmark, window, k, keep=[c for c in names if c != "doc_id"])
     d = d.withColumn("_hit", n_hit("spans")).where((F.col("_hit") == 0) | (least_share * F.col("_hit") < F.col("n_words")))
-    # words and what stands between them, glued together without the hit words
-    found = F.col("_hit") > 0
-    words, gaps = F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.split("text", WORD, -1)
-    d = d.withColumn("_w", F.when(found, words)).withColumn("_g", F.when(found, gaps))
-    mask = F.transform("_w", lambda w, i: F.when(F.exists("spans", lambda s: (s["start"] <= i) & (i < s["end"])), F.lit("")).otherwise(w))
-    d = d.withColumn("_m", mask)
-    glued = F.array_join(F.flatten(F.transform("_g", lambda g, i: F.array(g, F.coalesce(F.get("_m", i), F.lit(""))))), "")
-    d = d.withColumn("text", F.when(found, glued).otherwise(F.col("text")))
-    if "n_chars" in names:
-        d = d.withColumn("n_chars", F.when(found, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return d.select(*names)
+    text = names.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            spans = b.column(len(names)).to_pylist()
+            if any(spans):
+                texts = [cut_out(t, merged(s)) if s else t for t, s in zip(b.column(text).to_pylist(), spans)]
+                cols = [*b.columns]
+                cols[text] = pa.array(texts, pa.string())
+                if "n_chars" in names:
+                    old = cols[names.index("n_chars")]
+                    cols[names.index("n_chars")] = pa.array([len(t) if s else n for t, s, n in zip(texts, spans, old.to_pylist())], old.type)
+                yield pa.RecordBatch.from_arrays(cols[: len(names)], names)
+            else:
+                yield pa.RecordBatch.from_arrays(b.columns[: len(names)], names)
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    return d.select(*names, "spans").mapInArrow(run, kinds)
 
 
 def op4(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
