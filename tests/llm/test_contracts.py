@@ -126,7 +126,7 @@ def test_sketch_ties_never_lose_a_pair():
             s.discard(r.choice(base[:size]))
         sets.append(np.array(sorted(s), np.uint64))
     offs = np.cumsum([0] + [len(s) for s in sets])
-    sk = near.sketches(np.concatenate(sets), offs)
+    sk = near.sketches(np.concatenate(sets), offs, rule)
     edges = near.ties([[i, len(s), b] for i, (s, b) in enumerate(zip(sets, sk))], rule)
     comp = {i: i for i in range(len(sets))}
 
