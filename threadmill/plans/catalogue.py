@@ -364,7 +364,7 @@ def counted(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH c AS (SELECT conv_id, count(*) AS n FROM @turns GROUP BY conv_id), b AS (SELECT conv_id, n, t, e FROM c, (VALUES (2, 'precompact'), (4, 'stop')) v(t, e) WHERE t <= n),
   s AS (SELECT conv_id, coalesce(lag(t) OVER (PARTITION BY conv_id ORDER BY t), 0) AS start, t AS "end", e AS event FROM b UNION ALL SELECT conv_id, max(t), n, 'change' FROM b GROUP BY conv_id, n HAVING max(t) < n
     UNION ALL SELECT conv_id, 0, n, 'change' FROM b GROUP BY conv_id, n HAVING max(t) = n)
-  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY CASE WHEN event = 'change' THEN 99 ELSE start END) AS seq, start, "end", event FROM s""")
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY CASE WHEN event = 'change' THEN 99 ELSE start END) AS seq, start::BIGINT AS start, "end", event FROM s""")
 def segments_cut(spark, d):
     c, none = counted(spark, d), F.lit(None).cast("string")
     cut = segments.cut(F.col("segments"), F.col("boundaries"), F.col("turn_count"), F.lit(10), F.lit("t"), none, none)
