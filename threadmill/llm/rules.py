@@ -48,7 +48,7 @@ def votes() -> dict[str, Column]:
         "capitals": bad(upper > 0.5),
         "repeats": bad(repeat > 0.3),
         "lines": bad((lines > 0.5) & (F.col("n_lines") >= 4)),
-        "variety": bad(((variety < 0.1) & (F.col("n_words") < 2000)) | ((variety < 0.2) & (F.col("n_words") < 300))),
+        "variety": bad(((variety < 0.1) & (F.col("n_words") < 2000)) | ((variety < 0.2) & (F.col("n_words") < 300)) | ((variety < 0.25) & (F.col("n_words") < 100))),
         "length": bad((length < 2) | (length > 15)),
         "shouts": bad(shouts > 0.2),
         "prose": F.when(normal, GOOD).otherwise(ABSTAIN),
