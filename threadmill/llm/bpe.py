@@ -24,12 +24,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import small_batches
+from .common import small_batches, tidy
 
 #: Unicode's White_Space; Python's \s has four control characters more.
 _WS = r"\t-\r \x85\xa0" + "".join(f"\\u{c:04x}" for c in (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
 #: The pre-token pattern of byte-level BPE files, a fixed value of the format.
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+"
+#: Words of a cache's generation, and the longest word kept.
 CACHE_WORDS, CACHE_LONGEST = 250_000, 64
 
 
@@ -87,6 +88,7 @@ class ByteBPE:
         self.word = regex.compile(PATTERN)
         self.special = regex.compile("|".join(regex.escape(s) for s in sorted(self.specials, key=len, reverse=True))) if self.specials else None
         #: words of late and, behind them, of a generation ago
+        self.cache_words = CACHE_WORDS
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -183,7 +185,7 @@ class ByteBPE:
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         parts = [[*self.split(t)] if t else [] for t in texts]
-        if len(self.cache) > CACHE_WORDS:
+        if len(self.cache) > self.cache_words:
             self.cache, self.older = {}, self.cache
         known, older = self.cache, self.older
         need: set[str] = set()
@@ -237,6 +239,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     """id, the token ids and the text decoded from them, of every row."""
     small_batches(docs.sparkSession)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         for b in batches:
@@ -257,8 +260,10 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     """id, n_tokens, ids_sha256 and decoded_sha256 of every row, digested where the ids are made."""
     small_batches(docs.sparkSession)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
+        bpe.cache_words = CACHE_WORDS
         sha = lambda x: hashlib.sha256(x).hexdigest()
         for b in batches:
             packed = [p for texts in _chunks(b.column(1).to_pylist()) for p in bpe.encode_batch(texts)]
@@ -271,14 +276,17 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     return rows.mapInArrow(run, f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
 
 
-def tokens(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, source and lang with the ids, their number and the digests, from one pass."""
+def tokens(docs: DataFrame, path: str, cache_words: int = 90_000) -> DataFrame:
+    """doc_id, source and lang with the ids, their number and the digests, from one pass. The cache is smaller than by default, as
+    workers still hold memory from the stages before."""
     small_batches(docs.sparkSession)
     kept = [f for f in docs.schema.fields if f.name in ("doc_id", "source", "lang")]
     names = [f.name for f in kept]
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
+        bpe.cache_words = cache_words
         sha = lambda x: hashlib.sha256(x).hexdigest()
         for b in batches:
             row = 0

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -21,13 +22,17 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share: ``spark.checkpoint.dir``; set here only where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="threadmill-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    """The folder all machines share, from ``spark.checkpoint.dir``; where that is unset, as in tests, one of our own."""
+    if found := spark.conf.get("spark.checkpoint.dir", None):
+        return found.rstrip("/")
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:
+        _OWN[app] = tempfile.mkdtemp(prefix="threadmill-")
+    return _OWN[app]
 
 
 def fresh_dir(spark: SparkSession, name: str) -> str:
@@ -71,11 +76,10 @@ def bitmap(keys: DataFrame, column: str, bits: int) -> np.ndarray:
     rows = (
         keys.where(F.col(column).isNotNull())
         .select(F.shiftright(slot, 6).alias("w"), F.expr("shiftleft(1L, cast(%s & 63 as int))" % column).alias("b"))
-        .groupBy("w").agg(F.bit_or("b").alias("b")).collect()
+        .groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
     )
     words = np.zeros(max(1, (1 << bits) >> 6), dtype=np.int64)
-    for r in rows:
-        words[r["w"]] = r["b"]
+    words[rows.column(0).to_numpy()] = rows.column(1).to_numpy()
     return words.view(np.uint64)
 
 
@@ -84,6 +88,23 @@ def in_bitmap(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (words[(k >> np.uint64(6)).astype(np.int64)] >> (k & np.uint64(63))) & np.uint64(1) != 0
 
 
+def _trim() -> None:
+    """Hand freed memory back to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(run):
+    """A function over Arrow batches that leaves its worker small: workers outlive their tasks and share an executor's memory."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        _trim()
+
+    return wrapped
+
+
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and n + 1 offsets of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -97,7 +118,7 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), at
 
 
-def by_bytes(at: np.ndarray, most: int = 2_000_000) -> Iterator[tuple[int, int]]:
+def by_bytes(at: np.ndarray, most: int = 1_000_000) -> Iterator[tuple[int, int]]:
     """Row ranges [i, j) of at most so many bytes; a longer row stands alone."""
     i, n = 0, len(at) - 1
     while i < n:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import bitmap, by_bytes, in_bitmap, small_batches, staged, utf8
+from .common import bitmap, by_bytes, in_bitmap, small_batches, staged, tidy, utf8
 
 BROADCAST_ROWS, SALTS, BROADCAST_BYTES = 20_000, 16, 64 << 20
 _FOUND = "array<struct<fp:bigint,place:bigint,lead:bigint,words:string>>"
@@ -103,6 +103,7 @@ class Winnower:
 def benchmark_prints(benchmark: DataFrame, w: Winnower) -> DataFrame:
     """fp, item_id, lead, words, n_words of every kept gram of the items."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             counts, found = w.scan(*utf8(b.column(1)), None, None)
@@ -129,6 +130,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, k: in
     bits = int(np.clip(np.ceil(np.log2(4096 * stats["n"] + 1)), 16, 26))
     seen = bitmap(prints, "fp", bits)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, at = utf8(b.column(1))
@@ -158,6 +160,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, k: in
         salt = F.pmod(F.xxhash64("key", "place"), F.lit(SALTS)).cast("int")
         met = ours.withColumn("salt", salt).join(prints.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["fp", "salt"])
 
+    @tidy
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep, start, end = [], [], []
@@ -226,6 +229,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = 13, k: int = 8, l
     d = d.withColumn("_hit", n_hit("spans")).where((F.col("_hit") == 0) | (least_share * F.col("_hit") < F.col("n_words")))
     text = names.index("text")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             spans = b.column(len(names)).to_pylist()

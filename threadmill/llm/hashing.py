@@ -11,7 +11,7 @@ import numpy as np
 
 _R = np.random.default_rng(20240611).integers(0, 2**64, 256, dtype=np.uint64, endpoint=False)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_SLICE = 1_000_000
+_SLICE = 500_000
 
 #: Bytes of a word by kind: ``plain`` is all but the six blanks of ASCII, ``alnum`` is 0-9, a-z and all non-ASCII bytes.
 LOWER = np.arange(256, dtype=np.uint8)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, tidy
 
 #: Frequent words of the languages handled, elements that start a block, and those never shown.
 STOP_WORDS = frozenset(
@@ -196,6 +196,7 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url and text of every row."""
     small_batches(pages.sparkSession)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [main_text(x) for x in b.column(2).to_pylist()]

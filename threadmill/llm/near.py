@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import arrow_rows, bitmap, by_bytes, in_bitmap, staged, utf8
+from .common import arrow_rows, bitmap, by_bytes, in_bitmap, staged, tidy, utf8
 from .components import components
 
 #: Documents of a block; commonplaces kept at most, and their least share of a batch; postings merged by a heap at most;
@@ -126,6 +126,7 @@ def sketches(values: np.ndarray, offs: np.ndarray, rule: Rule) -> list[bytes]:
 def documents(docs: DataFrame, rule: Rule) -> tuple[DataFrame, np.ndarray]:
     """doc_id, n and the set's digest (null: empty) of every row, and the sorted commonplaces."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, values, offs in _sets(b, 1, rule.k):
@@ -193,6 +194,7 @@ def candidate_groups(docs: DataFrame, nodes: DataFrame, rule: Rule, common: np.n
     """(node, root): nodes (short digests) that may link, by group."""
     spark = docs.sparkSession
 
+    @tidy
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for b in batches:
@@ -201,12 +203,13 @@ def candidate_groups(docs: DataFrame, nodes: DataFrame, rule: Rule, common: np.n
                 own = np.array(_short([_digest(values[offs[r] : offs[r + 1]]) if n[r] else b"\0" * 8 for r in range(len(n))]), np.int64)
                 # copies within a task emit once
                 new = np.array([x not in seen and n[r] > 0 and not seen.add(x) for r, x in enumerate(own.tolist())], bool)
-                if len(seen) > 1_000_000:
+                if len(seen) > 250_000:
                     seen.clear()
                 row, sig, need = signatures(values, offs, rule, common)
                 keep = new[row]
                 yield pa.RecordBatch.from_arrays([pa.array(sig[keep].view(np.int64)), pa.array(own[row[keep]]), pa.array(need[keep], pa.int32())], ["sig", "node", "need"])
 
+    @tidy
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows, in the order of sig and node, whose sig more than one node has; each node once."""
         held: list[np.ndarray] | None = None  # the last row of the batch before, and whether it has been let through
@@ -238,6 +241,7 @@ def candidate_groups(docs: DataFrame, nodes: DataFrame, rule: Rule, common: np.n
             if meets.any():
                 yield pa.RecordBatch.from_arrays([pa.array(c[meets]) for c in cols], ["sig", "node", "need"])
 
+    @tidy
     def tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sig, held = None, []
         for b in batches:
@@ -261,6 +265,7 @@ def candidate_groups(docs: DataFrame, nodes: DataFrame, rule: Rule, common: np.n
     enough = staged(enough.select(F.xxhash64("node", "need").alias("h")), "near-enough")
     seen = bitmap(enough, "h", int(np.clip(np.ceil(np.log2(64 * enough.count() + 1)), 16, 26)))
 
+    @tidy
     def stay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = in_bitmap(seen, b.column(0).to_numpy())
@@ -444,6 +449,7 @@ def candidate_sets(docs: DataFrame, dealt: DataFrame, rule: Rule) -> DataFrame:
     bits = int(np.clip(np.ceil(np.log2(256 * marked.count() + 1)), 16, 26))
     seen = bitmap(marked, "h", bits)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = in_bitmap(seen, b.column(0).to_numpy())
@@ -457,6 +463,7 @@ def candidate_sets(docs: DataFrame, dealt: DataFrame, rule: Rule) -> DataFrame:
 
 
 def _searcher(rule: Rule):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, held = None, []
 
@@ -487,6 +494,7 @@ def with_digest(docs: DataFrame, rule: Rule) -> DataFrame:
     """``docs`` with the digest of each text's set (null: empty)."""
     names, text = [*docs.columns, "digest"], docs.columns.index("text")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             digests: list[bytes | None] = []

@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash60, small_batches
+from .common import hash60, small_batches, tidy
 
 FOLDS, HELD_OUT_FOLD = 3, 1
 N_FEATURES = 6
@@ -136,6 +136,7 @@ def classify(docs: DataFrame, model: Model, out: str = "score") -> DataFrame:
     names = [*docs.columns, out]
     text = docs.columns.index("text")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = model.scorer()
         for b in batches:

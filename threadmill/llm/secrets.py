@@ -135,8 +135,8 @@ def default_forest(spark: SparkSession) -> Forest:
     return _TRAINED[""]
 
 
-def scan(docs: DataFrame, forest: Forest | None = None, path: str | None = "source", threshold: float = 0.5) -> DataFrame:
-    """``docs`` with _pieces (texts between candidates), _values and _p, the candidates' probabilities.
+def scan(docs: DataFrame, forest: Forest | None = None, path: str | None = "source") -> DataFrame:
+    """``docs`` with _pieces (texts between candidates) and _found, the candidates (v) with their probabilities (p).
 
     Only texts that hold a candidate are cut up.
     """
@@ -146,19 +146,22 @@ def scan(docs: DataFrame, forest: Forest | None = None, path: str | None = "sour
     d = docs.withColumn("_values", F.when(some, F.regexp_extract_all(text, F.lit(VALUE), F.lit(0))).otherwise(F.array().cast("array<string>")))
     d = d.withColumn("_pieces", F.when(F.size("_values") > 0, F.split(text, VALUE, -1)))
     where = F.col(path) if path and path in docs.columns else F.lit(None).cast("string")
-    around = F.transform("_values", lambda v, i: features(v, F.right(F.get("_pieces", i), F.lit(BEFORE)), F.left(F.get("_pieces", i + 1), F.lit(AFTER)), where))
-    d = d.withColumn("_x", around)
-    return d.withColumn("_p", F.transform("_x", lambda x: forest.probability(x))).drop("_x")
+    # arrays are zipped, not indexed inside a lambda, where an inlined array would be made again for every element
+    n = F.size("_values")
+    cut = F.arrays_zip(F.col("_values").alias("v"), F.slice("_pieces", F.lit(1), n).alias("b"), F.slice("_pieces", F.lit(2), n).alias("a"))
+    cut = F.when(n > 0, cut).otherwise(F.array().cast("array<struct<v:string,b:string,a:string>>"))
+    d = d.withColumn("_x", F.transform(cut, lambda c: F.struct(c["v"].alias("v"), features(c["v"], F.right(c["b"], F.lit(BEFORE)), F.left(c["a"], F.lit(AFTER)), where).alias("x"))))
+    return d.withColumn("_found", F.transform("_x", lambda c: F.struct(c["v"].alias("v"), forest.probability(c["x"]).alias("p")))).drop("_x", "_values")
 
 
 def redact(docs: DataFrame, forest: Forest | None = None, path: str | None = "source", threshold: float = 0.5) -> DataFrame:
     """``docs`` with every secret in ``text`` replaced by MARK, and n_chars, where there is one, counted anew."""
     names = docs.columns
-    d = scan(docs, forest, path, threshold)
-    kept = F.transform("_values", lambda v, i: F.when(F.get("_p", i) >= threshold, F.lit(MARK)).otherwise(v))
-    glued = F.array_join(F.flatten(F.transform("_pieces", lambda p, i: F.array(p, F.coalesce(F.get("_kept", i), F.lit(""))))), "")
-    hit = F.exists("_p", lambda p: p >= threshold)
-    d = d.withColumn("_kept", kept).withColumn("_hit", hit).withColumn("text", F.when(F.col("_hit"), glued).otherwise(F.col("text")))
+    d = scan(docs, forest, path)
+    said = F.transform("_found", lambda c: F.when(c["p"] >= threshold, F.lit(MARK)).otherwise(c["v"]))
+    glued = F.array_join(F.zip_with("_pieces", said, lambda p, v: F.concat(p, F.coalesce(v, F.lit("")))), "")
+    hit = F.exists("_found", lambda c: c["p"] >= threshold)
+    d = d.withColumn("_hit", hit).withColumn("text", F.when(F.col("_hit"), glued).otherwise(F.col("text")))
     if "n_chars" in names:
         d = d.withColumn("n_chars", F.when(F.col("_hit"), F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return d.select(*names)
@@ -166,9 +169,9 @@ def redact(docs: DataFrame, forest: Forest | None = None, path: str | None = "so
 
 def op10(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """doc_id, candidates, secrets, the highest probability, and the secrets' digests (never their values)."""
-    d = scan(docs.select("doc_id", "text", "source"), threshold=threshold)
-    found = F.filter("_values", lambda v, i: F.get("_p", i) >= threshold)
-    return d.withColumn("_found", found).select(
-        "doc_id", F.size("_values").cast("long").alias("n_candidates"), F.size("_found").cast("long").alias("n_secrets"),
-        F.round(F.array_max("_p"), 6).alias("max_probability"),
-        F.array_join(F.array_sort(F.array_distinct(F.transform("_found", lambda v: F.sha2(v, 256)))), ",").alias("secrets_sha256"))
+    d = scan(docs.select("doc_id", "text", "source"))
+    hits = F.filter("_found", lambda c: c["p"] >= threshold)
+    return d.withColumn("_hits", hits).select(
+        "doc_id", F.size("_found").cast("long").alias("n_candidates"), F.size("_hits").cast("long").alias("n_secrets"),
+        F.round(F.array_max(F.transform("_found", lambda c: c["p"])), 6).alias("max_probability"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform("_hits", lambda c: F.sha2(c["v"], 256)))), ",").alias("secrets_sha256"))

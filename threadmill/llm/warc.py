@@ -29,10 +29,10 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_dir, small_batches, staged
+from .common import fresh_dir, small_batches, staged, tidy
 
 BROADCAST_ROWS, SALTS = 50_000, 16
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {}\r\n\r\n"
@@ -136,6 +136,7 @@ class Store:
         """Every record, found through the index blocks and read back by ranges."""
         root = self.root
 
+        @tidy
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index, archive = Reader(root), Reader(root)
             for b in batches:
@@ -194,6 +195,7 @@ def write(pages: DataFrame, least: int = 1000, block_lines: int = 1000, level: i
     refers = F.when(F.col("response").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("response")), F.col("response").cast("string"))
     rows = rows.select(F.col("page_id").cast("string"), "url", "payload", "digest", refers.alias("refers_to"))
 
+    @tidy
     def archive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = opened(root)
         out, name, offset = None, f"archive-{uuid.uuid4().hex}.warc.gz", 0
@@ -216,6 +218,7 @@ def write(pages: DataFrame, least: int = 1000, block_lines: int = 1000, level: i
 
     index = staged(rows.mapInArrow(archive, "key string, page string, at string"), "warc-captures")
 
+    @tidy
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = opened(root)
         out, name, offset, directory, part = None, f"index-{uuid.uuid4().hex}.gz", 0, [], []
