@@ -383,3 +383,11 @@ def test_forest_on_findings_it_has_not_seen(spark):
     forest = secrets.train(f.where("i % 2 = 0"))
     rest = f.where("i % 2 = 1").withColumn("x", secrets.features(F.col("value"), F.col("before"), F.col("after"), F.col("path"))).withColumn("hit", (forest.probability(F.col("x")) >= 0.5).cast("double"))
     assert rest.agg(F.avg((F.col("hit") == F.col("is_secret")).cast("int"))).first()[0] > 0.97
+
+
+def test_very_large_meetings_are_tied_without_a_look(monkeypatch):
+    rule = near.Rule(4, 85, 100)
+    rows = [[i, 64, bytes([255 * (j in (i, 7 - i)) for j in range(8)])] for i in range(6)]
+    assert len(near.ties(rows[:4], rule)) == 0  # 32 bits apart, ten are allowed
+    monkeypatch.setattr(near, "COMPARED", 5)
+    assert sorted(near.ties(rows, rule)) == [(i, 0) for i in range(1, 6)] and near.ties(rows[:1], rule) == []
