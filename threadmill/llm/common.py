@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import os
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -47,8 +48,17 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(to)
 
 
+def importable(spark: SparkSession) -> None:
+    """Python workers import this package too, wherever the driver was started from."""
+    here, env = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))), spark.sparkContext.environment
+    paths = env.get("PYTHONPATH", "").split(os.pathsep)
+    if here not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([here, *(p for p in paths if p)])
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound the rows of an Arrow batch for this session, never raising what the user set lower."""
+    importable(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > ARROW_ROWS:
         spark.conf.set(key, str(ARROW_ROWS))
@@ -57,6 +67,7 @@ def small_batches(spark: SparkSession) -> None:
 @contextlib.contextmanager
 def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
     """Rows of an Arrow batch for what is run inside."""
+    importable(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     old = spark.conf.get(key, "10000")
     spark.conf.set(key, str(rows))
