@@ -97,6 +97,7 @@ def fuse(*lists: DataFrame, depth: int | None = None) -> DataFrame:
     for one in lists:
         if depth:
             one = one.orderBy(F.desc("score"), F.asc("sid")).limit(depth)
+        one = one.select("sid", "score").persist()  # two narrow columns that the ranking goes over several times
         ranked.append(positions(one, "score", True, [F.asc("sid")]).select("sid", (1 / (RRF_K + F.col("position"))).alias("r")))
     both = ranked[0]
     for r in ranked[1:]:
