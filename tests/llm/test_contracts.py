@@ -114,6 +114,29 @@ def test_jaccard_join_of_a_large_group(spark):
     assert sorted(map(tuple, got)) == sorted(jaccard_components(rows, 4, 85, 100))
 
 
+def short_pairs(n=500, seed=11):
+    """Isolated pairs of short texts, a word appended or the last one changed, a third of them behind one license line."""
+    r, rows = random.Random(seed), []
+    line = "this text is free for all to use and to share under the terms of the common license of the house".split()
+    for i in range(n):
+        w = [f"u{r.randrange(10**9)}" for _ in range(r.randrange(8, 61))]
+        w = line + w if i % 3 == 0 else w
+        rows.append((2 * i, " ".join(w)))
+        rows.append((2 * i + 1, " ".join([*w, "end"] if i % 2 else [*w[:-1], "other"])))
+    return rows
+
+
+@pytest.mark.parametrize("k,num", [(4, 85), (5, 80)])
+def test_jaccard_join_finds_isolated_short_pairs(spark, k, num):
+    """One row of a pair may emit all its buckets while the other leaves its weak ones out."""
+    rows = short_pairs()
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = near.join(d, near.Rule(k, num, 100)).select("doc_id", "n_shingles", "component_id", "n_links").collect()
+    want = jaccard_components(rows, k, num, 100)
+    assert sum(x[3] for x in want) > 500
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_sketch_ties_never_lose_a_pair():
     r, rule = random.Random(5), near.Rule(1, 80, 100)
     import numpy as np

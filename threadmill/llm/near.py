@@ -8,7 +8,9 @@ start. Two nodes link when ``den * intersection >= num * union``.
    hash of each of its buckets for the size level of its own and for the next (a partner's sizes reach no further).
    Buckets with fewer than two shingles that are not corpus-wide commonplaces are weak and stay out as long as a node has no
    more of them than the slack, so one shared line does not make candidates; this loses no pair, whatever counts
-   as commonplace. Nodes that meet in a bucket are tied into candidate groups by connected components.
+   as commonplace. A node with more emits all its buckets: a partner with few shares a strong one, a partner with many
+   a strong one or all but d of its buckets as weak ones. Nodes that meet in a bucket are tied into candidate groups by
+   connected components.
 2. Search. Each group's sets are dealt to tasks, large groups as pairs of blocks. A task builds inverted lists of one block
    and searches them with each set of the other: the longest lists are set aside (DivideSkip), the short ones are
    merged, and nodes that reach the required overlap less the lists set aside are looked up in the long ones by binary search.
@@ -151,8 +153,9 @@ def documents(docs: DataFrame, rule: Rule) -> tuple[DataFrame, np.ndarray]:
 
 
 def signatures(values: np.ndarray, offs: np.ndarray, rule: Rule, common: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, signature, need) of the sets' buckets. need: twice the number of the row's signatures of this level that a partner
-    shares at least, plus the step of the level, so that it also tells the two levels of a row apart."""
+    """(row, signature, need) of the sets' buckets. need: twice the number of the row's signatures of this level and need that a
+    partner shares at least, plus the step of the level, so that it also tells the two levels of a row apart. The weak
+    signatures of a row that emits everything are counted on their own: they matter only to partners that share no strong one."""
     n = np.diff(offs)
     rows = np.repeat(np.arange(len(n)), n)
     plain = np.ones(len(values), bool)
@@ -176,15 +179,17 @@ def signatures(values: np.ndarray, offs: np.ndarray, rule: Rule, common: np.ndar
         total = np.add.reduceat(scrambled, start)
         weak = m - np.bincount(row, weights=strong, minlength=len(n)).astype(np.int64)
         everything = weak > slack
-        need = 2 * (m - rule.differ(level) - np.where(everything, 0, weak)) + step
+        equal = m - rule.differ(level)
+        # a partner that is just below that border shares its strong buckets only, as few as equal - slack
+        need, alone = 2 * (equal - np.minimum(weak, slack)) + step, 2 * equal + step
         salt = hashing.mix((level[row].astype(np.uint64) << np.uint64(40)) + place.astype(np.uint64))
         keep = strong | everything[row]
-        out.append((row[keep], hashing.mix(total[keep] + salt[keep]), need[row[keep]]))
+        out.append((row[keep], hashing.mix(total[keep] + salt[keep]), np.where(strong, need[row], alone[row])[keep]))
         # nodes with too many weak buckets emit their empty ones too
         for r in np.flatnonzero(everything & (n > 0)):
             empty = np.setdiff1d(np.arange(m[r]), place[row == r], assume_unique=True)
             sig = hashing.mix(hashing.mix((np.uint64(level[r]) << np.uint64(40)) + empty.astype(np.uint64)) + np.uint64(1))
-            out.append((np.full(len(empty), r), sig, np.full(len(empty), need[r])))
+            out.append((np.full(len(empty), r), sig, np.full(len(empty), alone[r])))
     if not out:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
     return tuple(np.concatenate(x) for x in zip(*out))
