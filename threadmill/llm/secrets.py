@@ -1,6 +1,7 @@
 """Secret scan with a random forest that removes false positives (DataFrame functions only).
 
-Candidates are private-key blocks and long runs of key characters with a digit. For each one the forest sees its length,
+Candidates are private-key blocks, long runs of key characters with a digit, and shorter or digit-free runs behind a known
+prefix or a secret's name and sign. For each one the forest sees its length,
 its character transitions, how much of it dictionary words cover, the path, and the words before it. The forest is
 trained from labelled findings with Spark's own learner; its trees are then turned into a SQL expression, so that
 scanning is one projection over the texts: no shuffle, no join, no UDF. A text is cut at its candidates, and the piece before a
@@ -20,10 +21,16 @@ from pyspark.sql import functions as F
 
 from .common import staged
 
-#: What a candidate looks like.
+#: What a candidate looks like: a key block, a long run with a digit, a known prefix, or what is assigned to a secret's name. A run
+#: before "=" and more is a name and stays in the text before its value; "=" belongs to a value as trailing padding only.
+_NAMES = "token|secret|passw(?:or)?d|pwd|api.?key|access.?key|credentials?|private.?key"
 VALUE = (
     "-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[^-]*(?:-----END [A-Z ]{0,40}PRIVATE KEY-----)?"
-    "|(?<![A-Za-z0-9_+/=.-])(?=[A-Za-z_+/=.-]{0,64}[0-9])[A-Za-z0-9_+/=.-]{15,}[A-Za-z0-9_+/=]")
+    "|(?<![A-Za-z0-9_+/.-])(?:(?<==)|(?![A-Za-z0-9_+/.-]*+=[A-Za-z0-9_+/.-]))(?:"
+    "(?=[A-Za-z_+/.-]{0,64}[0-9])[A-Za-z0-9_+/.-]{15,}[A-Za-z0-9_+/]"
+    "|(?:AKIA|ASIA)[A-Z0-9]{12,}|(?:gh[pousr]_|glpat-|xox[abpr]-|AIza)[A-Za-z0-9_-]{12,}"
+    f"|(?<=(?i:{_NAMES})[\"']?\\s{{0,3}}(?:=|:|:=|=>)\\s{{0,3}}[\"']?)[A-Za-z0-9_+/.-]{{7,}}[A-Za-z0-9_+/])"
+    "(?:={1,2}(?![A-Za-z0-9_+/=.-]))?")
 MARK = "[SECRET]"
 BEFORE, AFTER = 48, 8
 #: Fixed lists: words that name secrets or other long values, words that make up names, bigrams of running text.
