@@ -11,7 +11,8 @@ passage that a third of all messages share nor one endless conversation meets in
 
 Edge cases: null texts count as empty; rows with a null conv_id or turn are roots of their own and link with nothing;
 rows that share conv_id and turn are versions of one message and get the same parent; lines that only hold marks or blanks
-link with nothing; empty tables give no rows; extra columns are ignored.
+link with nothing; lines of any number of marks or blanks are read in linear time; empty tables give no rows; extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -21,9 +22,11 @@ from pyspark.sql import functions as F
 
 from .common import staged
 
-#: Turns of a block, the quote prefix, and lines that introduce a quote.
+#: Turns of a block, blanks at a text's ends, the quote prefix (one character class: a group that repeats would recurse once for every mark),
+#: and lines that introduce a quote.
 TURNS = 256
-PREFIX = "^[ \\t]*(?:>[ \\t]?)+"
+BLANKS = " \t\n\x0b\f\r"
+PREFIX = "^[ \\t]*>[> \\t]*"
 ATTRIBUTION = "(?i)^(?:on|am|le|el) .{1,200}(?:wrote|schrieb|écrit|escribió).{0,80}:[ \\t]*$"
 
 
@@ -40,7 +43,7 @@ def unquoted(text: Column) -> Column:
     lines = F.split(text, "\n")
     quoted = lambda i: F.coalesce(F.rlike(F.get(lines, i), F.lit(PREFIX)), F.lit(False))
     own = F.filter(lines, lambda x, i: ~F.rlike(x, F.lit(PREFIX)) & ~(F.rlike(x, F.lit(ATTRIBUTION)) & quoted(i + 1)))
-    return F.regexp_replace(F.array_join(own, "\n"), "^[\\s]+|[\\s]+$", "")
+    return F.btrim(F.array_join(own, "\n"), F.lit(BLANKS))
 
 
 def latest_earlier(quotes: DataFrame, sources: DataFrame) -> DataFrame:
@@ -136,7 +139,7 @@ WITH RECURSIVE d AS (SELECT c.conv_id, c.turn, c.role, c.text AS t0, a.text AS t
 m AS (SELECT conv_id, turn, role, coalesce(CASE WHEN turn % 5 = 4 THEN '> ' || replace(t2, chr(10), chr(10) || '> ') || chr(10)
           WHEN turn % 3 = 1 THEN '> ' || replace(t1, chr(10), chr(10) || '> ') || chr(10)
           WHEN turn % 3 = 2 THEN '> ' || split_part(t1, chr(10), 1) || chr(10) || '>> ' || split_part(t2, chr(10), 1) || chr(10) END, '') || t0 AS text FROM d),
-l AS (SELECT conv_id, turn, pos, line, regexp_extract(line, '^[ \\t]*(?:>[ \\t]?)+', 0) AS pre FROM
+l AS (SELECT conv_id, turn, pos, line, regexp_extract(line, '^[ \\t]*>[> \\t]*', 0) AS pre FROM
    (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM m)),
 n AS (SELECT conv_id, turn, pos, line, length(regexp_replace(pre, '[^>]', '', 'g')) AS lev,
    trim(regexp_replace(lower(substr(line, length(pre) + 1)), '[ \\t\\r]+', ' ', 'g')) AS said FROM l),
@@ -152,6 +155,6 @@ tree AS (SELECT m.conv_id, m.turn, m.turn AS root, 0::BIGINT AS depth FROM m LEF
    UNION ALL SELECT b.conv_id, b.turn, t.root, t.depth + 1 FROM tree t JOIN best b ON b.conv_id = t.conv_id AND b.source = t.turn),
 own AS (SELECT conv_id, turn, string_agg(line, chr(10) ORDER BY pos) AS text FROM n WHERE lev = 0 GROUP BY 1, 2)
 SELECT m.conv_id, m.turn, role, source AS parent_turn, root AS root_turn, depth, coalesce(n_quoted, 0)::BIGINT AS n_quoted,
-   coalesce(n_linked, 0)::BIGINT AS n_linked, regexp_replace(coalesce(own.text, ''), '^\\s+|\\s+$', '', 'g') AS text
+   coalesce(n_linked, 0)::BIGINT AS n_linked, trim(coalesce(own.text, ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS text
 FROM m LEFT JOIN best USING (conv_id, turn) LEFT JOIN k USING (conv_id, turn) JOIN tree USING (conv_id, turn) LEFT JOIN own USING (conv_id, turn)
 """

@@ -1,13 +1,17 @@
 """Main text of HTML pages by two passes over their blocks.
 
-A page is cut into blocks at block-level tags. Pass one looks at each block alone: its length, the density of stop
-words and of text in links, and the elements around it; it calls the block good or bad, or leaves a short one open.
-Pass two gives each open block the label of its nearest decided neighbours: inside an article they are sought in that
-article among what nothing marks as foreign, elsewhere on the whole page; where the two sides differ the nearer one
-wins (as near: for a heading the block below, else the bad one), and inside an article the good one.
+A page is cut into blocks at block-level tags. Pass one looks at each block alone: the share of text in links, its length and its
+density of stop words call it good or bad, or leave it open; elements and class words that name what is not the article count as
+evidence against it. Pass two gives each open block the label of its nearest decided neighbour: nearest in the element tree
+first (the innermost element around the block that holds a decided one), then in page order. Of two that are as near, a heading
+takes the one below and other blocks the bad one, or the good one inside an article element; an article without any decided block is good.
+
+Where the good text inside article and main elements is at least as long as that outside, the rest of the page goes; else such
+elements are teasers, and only those of their blocks stay that pass one calls good.
 
 Edge cases: null or empty html, and pages without a good block, give the empty text; unclosed tags, comments, scripts
-and broken references are read as browsers do; repeated pages are treated alike; extra columns are ignored.
+and broken references are read as browsers do; repeated pages are treated alike; empty tables give no rows; extra columns are ignored.
+Time and memory grow with the page's length alone, however deep its elements nest.
 """
 
 from __future__ import annotations
@@ -41,7 +45,9 @@ BAD_WORDS = frozenset(
     "ad adbox ads adslot adunit advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer footer "
     "login masthead menu menubar modal nav navbar navigation newsletter notice pager pagination popup promo promoted related replies reply "
     "respond search share sharing sidebar signup social sponsor sponsored subscribe tags toolbar usercomments widget contentinfo complementary "
-    "alert overlay reviews feedback".split())
+    "alert overlay reviews feedback teaser teasers".split())
+#: A word that takes the meaning from the one behind it: "content-with-sidebar" is no sidebar.
+TURNS = frozenset("with has no without".split())
 GOOD_TAGS = frozenset("article main".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that a later sibling or the parent's end closes.
@@ -63,24 +69,38 @@ class Block:
     linked: int
     bad: bool
     article: int
+    shared: int = 0  # elements around it that were around the block before, too
     heading: bool = False
     label: int = OPEN
 
 
+def marked(attributes: str) -> bool:
+    """Whether a class, id or role names what is not the article."""
+    for a in _MARK.finditer(attributes):
+        before = ""
+        for w in _WORDS.findall((a[1] or a[2] or a[3] or "").lower()):
+            if w in BAD_WORDS and before not in TURNS:
+                return True
+            before = w
+    return False
+
+
 def blocks(page: str) -> list[Block]:
     """Blocks with text in page order; ``article`` numbers the article or main element around it, 0 for none."""
     out: list[Block] = []
     text: list[str] = []
-    linked = links = 0
+    linked = links = low = 0
     stack: list[tuple[str, bool, int]] = []  # tag, bad, article
+    open_: dict[str, int] = {}  # how many of a tag the stack holds
     bad, article, articles, at = False, 0, 0, 0
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, low
         if text:
             t = _BLANK.sub(" ", "".join(text)).strip()
             if t:
-                out.append(Block(t, min(linked, len(t)), bad, article, bool(stack) and stack[-1][0] in HEADINGS))
+                out.append(Block(t, min(linked, len(t)), bad, article, low, bool(stack) and stack[-1][0] in HEADINGS))
+                low = len(stack)
             text.clear()
         linked = 0
 
@@ -108,25 +128,26 @@ def blocks(page: str) -> list[Block]:
             continue
         flush()
         if m["end"]:
-            if any(t == tag for t, _, _ in stack):
+            if open_.get(tag, 0):
                 while stack:
                     t, bad, article = stack.pop()
+                    open_[t] -= 1
                     if t == tag:
                         break
             links = 0
         elif tag not in VOID:
             while stack and stack[-1][0] in IMPLIED and (stack[-1][0] == tag or stack[-1][0] == "p"):
-                _, bad, article = stack.pop()
+                t, bad, article = stack.pop()
+                open_[t] -= 1
             stack.append((tag, bad, article))
-            marked = False
-            if "=" in m["rest"]:
-                for a in _MARK.finditer(m["rest"]):
-                    marked |= not BAD_WORDS.isdisjoint(_WORDS.findall((a[1] or a[2] or a[3] or "").lower()))
-            if tag in GOOD_TAGS and not bad:
+            open_[tag] = open_.get(tag, 0) + 1
+            foreign = tag in BAD_TAGS or ("=" in m["rest"] and tag not in ("body", "html", "main") and marked(m["rest"]))
+            if tag in GOOD_TAGS and not bad and not foreign:
                 articles += 1
                 article = articles
             # a header inside an article may hold its title
-            bad = bad or tag in BAD_TAGS or (tag == "header" and not article) or (marked and tag not in ("body", "html", "main", "article"))
+            bad = bad or foreign or (tag == "header" and not article)
+        low = min(low, len(stack) - (not m["end"] and tag not in VOID))
     say(page[at:])
     flush()
     return out
@@ -135,61 +156,61 @@ def blocks(page: str) -> list[Block]:
 def judge(b: Block) -> int:
     """Pass one."""
     n = len(b.text)
-    if b.bad:
-        return BAD
-    if b.linked > LINKED * n:
+    if b.bad or b.linked > LINKED * n:
         return BAD
     words = b.text.split()
     dense = sum(w.strip(".,;:!?\"'()").lower() in STOP_WORDS for w in words) / len(words)
-    if b.article:  # the element vouches for it; only the short and wordless stay open
-        return GOOD if n >= SHORT or dense >= DENSE else OPEN
     if n >= LONG:
-        return GOOD if dense >= SPARSE else BAD
-    if n >= SHORT and dense >= DENSE:
-        return GOOD
-    return OPEN if n < SHORT or dense >= SPARSE else BAD
+        return GOOD if dense >= SPARSE else OPEN
+    return GOOD if n >= SHORT and dense >= DENSE else OPEN
 
 
 def settle(found: list[Block]) -> None:
     """Both passes, in place."""
     for b in found:
         b.label = judge(b)
-    decided = [b.label for b in found]
-    n = len(found)
-    for zones in (True, False):
-        # nearest decided block on either side, per zone: the article, or the page
-        before: dict[int, int] = {}
-        left = [-1] * n
-        for i, b in enumerate(found):
-            z = b.article if zones else 0
-            left[i] = before.get(z, -1)
-            if decided[i] != OPEN and not (zones and b.bad):
-                before[z] = i
-        after: dict[int, int] = {}
-        for i in range(n - 1, -1, -1):
-            b = found[i]
-            z = b.article if zones else 0
-            if b.label == OPEN and bool(b.article) == zones:
-                near = [(abs(i - k), decided[k]) for k in (left[i], after.get(z, -1)) if k >= 0]
-                if not near:
-                    b.label = GOOD if b.article else BAD
-                elif b.article:
-                    b.label = max(v for _, v in near)
-                elif len(near) == 2 and near[0][0] == near[1][0]:
-                    b.label = near[1][1] if b.heading else BAD if BAD in (near[0][1], near[1][1]) else GOOD
-                else:
-                    b.label = min(near)[1]
-            if decided[i] != OPEN and not (zones and b.bad):
-                after[z] = i
+    decided, n = [b.label for b in found], len(found)
+    # of each open block, the decided one before and behind it and how many elements hold both
+    before, behind = [(-1, -1)] * n, [(-1, -1)] * n
+    at, depth = -1, -1
+    for i in range(n):
+        depth = min(depth, found[i].shared)
+        before[i] = (at, depth)
+        if decided[i] != OPEN:
+            at, depth = i, 1 << 30
+    at, depth = -1, -1
+    for i in range(n - 1, -1, -1):
+        if i + 1 < n:
+            depth = min(depth, found[i + 1].shared)
+        behind[i] = (at, depth)
+        if decided[i] != OPEN:
+            at, depth = i, 1 << 30
+    vouched = {b.article for b in found if b.article and not b.bad and b.label != OPEN}
+    for i, b in enumerate(found):
+        if b.label != OPEN:
+            continue
+        (l, x), (r, y) = before[i], behind[i]
+        if b.article and b.article not in vouched:
+            b.label = GOOD
+        elif l < 0 and r < 0:
+            b.label = BAD
+        elif r < 0 or (l >= 0 and (x, l - i) > (y, i - r)):
+            b.label = decided[l]
+        elif l < 0 or (y, i - r) > (x, l - i) or b.heading:
+            b.label = decided[r]
+        else:
+            b.label = max(decided[l], decided[r]) if b.article else min(decided[l], decided[r])
 
 
 def main_text(page: str | None) -> str:
     """The good blocks, one on a line."""
     found = blocks(page or "")
     settle(found)
-    if any(b.article for b in found):  # what surrounds an article is not part of it
-        found = [b for b in found if b.article]
-    return "\n".join(b.text for b in found if b.label == GOOD)
+    inside = [b for b in found if b.label == GOOD and b.article]
+    outside = [b for b in found if b.label == GOOD and not b.article]
+    if sum(len(b.text) for b in inside) >= sum(len(b.text) for b in outside):  # what surrounds an article is not part of it
+        return "\n".join(b.text for b in inside)
+    return "\n".join(b.text for b in found if b.label == GOOD and (not b.article or judge(b) == GOOD))
 
 
 def extract(pages: DataFrame) -> DataFrame:

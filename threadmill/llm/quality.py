@@ -1,16 +1,17 @@
 """Compression classifier: two zstandard dictionaries, one from good and one from bad labelled text.
 
-A text is compressed whole with either dictionary and with none. The normalised difference of the two sizes says
-which kind of text it resembles; with the two ratios of compression, which give away texts that repeat themselves, it
-goes into a small logistic model that turns it into a calibrated score.
+A text is compressed whole with either dictionary. The difference of the two sizes for each byte of text says which kind of
+text it resembles; a logistic model calibrates it, where the text's length only shifts and scales the difference.
+Nothing else goes into the score.
 
-The fit uses a bounded sample of labelled rows: at most ``per_class`` rows of each label, chosen by a hash of their
-id, texts of at most ``most_bytes`` bytes. Half of them make the dictionaries, the rest calibrate. Scoring reads every
-row, whole, in one pass without a shuffle.
+The fit uses a bounded sample of labelled rows: at most ``per_class`` rows of each label and ``class_bytes`` bytes of their
+texts, in the order of a hash of their id; texts are taken whole. Each half of the sample makes dictionaries that the other half
+is measured with, so the calibration sees only texts that are not in the dictionary; the final dictionaries hold both halves, whole texts as
+long as ``dict_bytes`` has room. Scoring reads every row, whole, in one pass without a shuffle.
 
-Edge cases: null counts as the empty text, which has features of zero and gets a score; a null doc_id is never
+Edge cases: null counts as the empty text; an empty text says nothing and scores the share of good labels; a null doc_id is never
 labelled and counts as held out or not by the text "" ; ids that repeat are scored each; if a class has no labelled
-text the score is the share of good labels, 0.5 without any.
+text every score is the share of good labels, 0.5 without any; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -21,20 +22,20 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import hash60, small_batches, tidy
 
 FOLDS, HELD_OUT_FOLD = 3, 1
-N_FEATURES = 6
 
 
 @dataclass
 class Model:
     good: bytes
     bad: bytes
-    weights: list[float]
+    weights: list[float]  # none: the prior is every text's score
+    prior: float
     level: int
 
     def scorer(self) -> Scorer:
@@ -45,39 +46,40 @@ class Scorer:
     """Compressors of one worker."""
 
     def __init__(self, m: Model):
-        self.weights = np.array(m.weights)
-        self.by = []
-        for d in (m.good, m.bad):
-            kind = zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            kind.precompute_compress(level=m.level)
-            self.by.append(zstandard.ZstdCompressor(level=m.level, dict_data=kind, write_content_size=False, write_checksum=False, write_dict_id=False))
-        self.by.append(zstandard.ZstdCompressor(level=m.level, write_content_size=False, write_checksum=False))
-
-    def sizes(self, texts: list[bytes]) -> np.ndarray:
-        return np.array([[len(c.compress(t)) for c in self.by] + [len(t)] for t in texts], float).reshape(-1, 4)
+        self.weights, self.prior = np.array(m.weights), m.prior
+        self.by = [compressor(d, m.level) for d in (m.good, m.bad)] if m.weights else []
 
     def score(self, texts: list[bytes]) -> np.ndarray:
-        z = features(self.sizes(texts)) @ self.weights
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        n = np.array([len(t) for t in texts])
+        out = np.full(len(texts), self.prior)
+        if self.by and n.any():
+            some = np.flatnonzero(n)
+            z = features(sizes(self.by, [texts[i] for i in some]), n[some]) @ self.weights
+            out[some] = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        return out
+
+
+def compressor(content: bytes, level: int) -> zstandard.ZstdCompressor:
+    kind = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    kind.precompute_compress(level=level)
+    return zstandard.ZstdCompressor(level=level, dict_data=kind, write_content_size=False, write_checksum=False, write_dict_id=False)
+
+
+def sizes(by: list[zstandard.ZstdCompressor], texts: list[bytes]) -> np.ndarray:
+    return np.array([[len(c.compress(t)) for c in by] for t in texts], float).reshape(-1, 2)
 
 
-def features(sizes: np.ndarray) -> np.ndarray:
-    """From sizes with the good, the bad and no dictionary, and of the text itself."""
-    good, bad, plain, n = sizes.T
-    some = n > 0
-    n = np.maximum(n, 1)
-    size = some * np.log(n) / 10
-    difference = some * np.clip((bad - good) / np.maximum(plain, 1), -0.5, 0.5)
-    # running text gets shorter with its length at a known pace; what is far below that without a dictionary repeats itself
-    alone = some * (np.log(np.maximum(plain, 1) / n) + 0.08 * np.log(n))
-    return np.stack([np.ones_like(n), difference, difference * size, size, alone, alone**2], 1)
+def features(size: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """From the sizes with the good and the bad dictionary, and the texts' own."""
+    difference, length = 10 * (size[:, 1] - size[:, 0]) / n, np.log(n) / 10
+    return np.stack([np.ones(len(n)), difference, difference * length, length, length**2], 1)
 
 
 def fold(doc_id: str = "doc_id"):
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, most_bytes: int, seed: int) -> list[tuple[int, int, bytes]]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, class_bytes: int, seed: int) -> list[tuple[int, int, bytes]]:
     """(hash, label, text) of the sample: ids are chosen first, so that texts travel only for the chosen."""
     pick = hash60(F.lit(str(seed)), F.col("_id").cast("string"))
     known = (
@@ -86,25 +88,30 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     )
     chosen = known.where(F.col("_y") == 1).orderBy("_pick", "_id").limit(per_class).unionAll(known.where(F.col("_y") == 0).orderBy("_pick", "_id").limit(per_class))
     # at most 2 * per_class ids: bounded, so every task may hold them
-    rows = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_t")).where(F.octet_length("_t").between(1, most_bytes))
+    rows = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_t")).where(F.octet_length("_t") > 0)
     rows = rows.join(F.broadcast(chosen), "_id").groupBy("_pick", "_id", "_y").agg(F.min("_t").alias("_t"))
-    return sorted((r["_pick"], int(r["_y"]), r["_t"].encode()) for r in rows.collect())
+    before = Window.partitionBy("_y").orderBy("_pick", "_id").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_sum", F.sum(F.octet_length("_t").cast("long")).over(before)).where(F.col("_sum") <= class_bytes)
+    return sorted((r["_pick"], int(r["_y"]), r["_t"].encode()) for r in rows.select("_pick", "_y", "_t").collect())
 
 
 def dictionary(texts: list[bytes], size: int) -> bytes:
-    """Content for a raw dictionary: an even share of every text, so that many texts have a part in it."""
-    share = max(64, size // max(1, len(texts)))
-    return b"".join(t[:share] for t in texts)[-size:]
+    """Content for a raw dictionary: whole texts, in order, as far as they fit."""
+    out, room = [], size
+    for t in texts:
+        if len(t) <= room:
+            out.append(t)
+            room -= len(t)
+    return b"".join(out) or bytes(8)
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, rounds: int = 40) -> np.ndarray:
-    """Newton steps; the two classes weigh the same, so that 0.5 is the border between them."""
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.01, rounds: int = 40) -> np.ndarray:
+    """Newton steps; every row weighs the same, so that the score is a probability."""
     w = np.zeros(x.shape[1])
-    share = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * len(y)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (share * (p - y)) + ridge * w
-        h = (x * (share * p * (1 - p))[:, None]).T @ x + (ridge + 1e-9) * np.eye(len(w))
+        g = x.T @ (p - y) + ridge * w
+        h = (x * (p * (1 - p))[:, None]).T @ x + (ridge + 1e-9) * np.eye(len(w))
         step = np.linalg.solve(h, g)
         w -= step * min(1.0, 10 / max(np.abs(step).max(), 1e-9))
         if np.abs(step).max() < 1e-8:
@@ -112,21 +119,22 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, rounds: int = 40)
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = 2500, most_bytes: int = 32_000,
-        dict_bytes: int = 600_000, level: int = 3, seed: int = 5) -> Model:
-    rows = labelled_sample(docs, labels, label, per_class, most_bytes, seed)
-    sides = {y: [t for _, v, t in rows if v == y] for y in (0, 1)}
-    if not sides[0] or not sides[1]:
-        share = len(sides[1]) / len(rows) if rows else 0.5
-        bias = float(np.log((share + 1e-3) / (1 - share + 1e-3)))
-        return Model(b"", b"", [bias] + [0.0] * (N_FEATURES - 1), level)
-    cut = {y: (len(v) + 1) // 2 for y, v in sides.items()}
-    m = Model(dictionary(sides[1][: cut[1]], dict_bytes), dictionary(sides[0][: cut[0]], dict_bytes), [], level)
-    m.weights = [0.0] * N_FEATURES
-    tune = [(t, y) for y, v in sides.items() for t in (v[cut[y] :] or v)]
-    x, y = features(m.scorer().sizes([t for t, _ in tune])), np.array([v for _, v in tune], float)
-    m.weights = logistic(x, y).tolist()
-    return m
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = 2500, class_bytes: int = 24_000_000,
+        dict_bytes: int = 3_000_000, level: int = 9, seed: int = 5) -> Model:
+    rows = labelled_sample(docs, labels, label, per_class, class_bytes, seed)
+    side = {y: [t for _, v, t in rows if v == y] for y in (1, 0)}
+    prior = len(side[1]) / len(rows) if rows else 0.5
+    if min(map(len, side.values())) < 2:  # nothing to tell apart, or nothing to measure it with
+        return Model(b"", b"", [], prior, level)
+    x, y = [], []
+    for k in (0, 1):
+        by = [compressor(dictionary(v[k::2], dict_bytes), level) for v in side.values()]
+        for label_, v in side.items():
+            rest = v[1 - k :: 2]
+            x.append(features(sizes(by, rest), np.array([len(t) for t in rest])))
+            y += [float(label_)] * len(rest)
+    w = logistic(np.concatenate(x), np.array(y))
+    return Model(dictionary(side[1], dict_bytes), dictionary(side[0], dict_bytes), w.tolist(), prior, level)
 
 
 def classify(docs: DataFrame, model: Model, out: str = "score") -> DataFrame:

@@ -16,54 +16,70 @@ tables give no rows; extra columns pass through ``redact`` unchanged and are ign
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import staged
 
 #: What a candidate looks like: a key block, a long run with a digit, a known prefix, or what is assigned to a secret's name. A run
-#: before "=" and more is a name and stays in the text before its value; "=" belongs to a value as trailing padding only.
+#: before "=" and more is a name and stays in the text before its value; "=" belongs to a value as trailing padding only. A key block
+#: reaches to its END line, over its headers; without one it holds the header lines and lines of key characters that follow.
 _NAMES = "token|secret|passw(?:or)?d|pwd|api.?key|access.?key|credentials?|private.?key"
+_RUN = "A-Za-z0-9_+/.-"
 VALUE = (
-    "-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[^-]*(?:-----END [A-Z ]{0,40}PRIVATE KEY-----)?"
-    "|(?<![A-Za-z0-9_+/.-])(?:(?<==)|(?![A-Za-z0-9_+/.-]*+=[A-Za-z0-9_+/.-]))(?:"
-    "(?=[A-Za-z_+/.-]{0,64}[0-9])[A-Za-z0-9_+/.-]{15,}[A-Za-z0-9_+/]"
+    "-----BEGIN [A-Z ]{0,40}PRIVATE KEY(?: BLOCK)?-----(?:(?:[^-]++|-(?!----))*+-----END [A-Z ]{0,40}PRIVATE KEY(?: BLOCK)?-----"
+    "|(?:\\s*+(?:[A-Za-z-]{1,40}: [^\n]*+|[A-Za-z0-9+/=]{16,}+))*+(?:\\s*+[A-Za-z0-9+/]{1,15}+={1,2})?+)"
+    f"|(?<![{_RUN}])(?:(?<==)|(?![{_RUN}]*+=[{_RUN}]))(?:"
+    f"(?=[A-Za-z_+/.-]*+[0-9])[{_RUN}]{{15,}}[A-Za-z0-9_+/]"
     "|(?:AKIA|ASIA)[A-Z0-9]{12,}|(?:gh[pousr]_|glpat-|xox[abpr]-|AIza)[A-Za-z0-9_-]{12,}"
-    f"|(?<=(?i:{_NAMES})[\"']?\\s{{0,3}}(?:=|:|:=|=>)\\s{{0,3}}[\"']?)[A-Za-z0-9_+/.-]{{7,}}[A-Za-z0-9_+/])"
+    f"|(?<=(?i:{_NAMES})[\"']?\\s{{0,3}}(?:=|:|:=|=>)\\s{{0,3}}[\"']?)[{_RUN}]{{7,}}[A-Za-z0-9_+/])"
     "(?:={1,2}(?![A-Za-z0-9_+/=.-]))?")
 MARK = "[SECRET]"
+#: Characters before and after a candidate that count as its neighbouring words.
 BEFORE, AFTER = 48, 8
-#: Fixed lists: words that name secrets or other long values, words that make up names, bigrams of running text.
+#: Fixed lists: words that name secrets or other long values, words that stand in for a value, dictionary words, bigrams of running text.
 SECRET_WORDS = "token|secret|passw|pwd|api.?key|apikey|access.?key|auth|credential|private|bearer|signing"
 OTHER_WORDS = "commit|sha|md5|checksum|digest|revision|uuid|guid|integrity|etag|hash|version|order|card|phone|account|invoice|isbn|id\\b|url|http|file|path|image|public"
-DICTIONARY = (
-    "api|example|sample|test|dummy|placeholder|change|replace|your|default|admin|user|name|password|secret|token|key|config|value|data|file|image|"
-    "version|release|build|module|function|class|index|main|page|link|assets|static|here|insert|some|none|null|true|false|with|from|the|and|foo|bar|abc|xxx")
+PLACEHOLDERS = "example|sample|dummy|placeholder|change.?me|replace|your|insert|todo|xxxx|here|redacted|none|null|default|test"
+DICTIONARY = tuple(
+    "about above access account action active address after again all also and animal another answer any api apple array asset audio author "
+    "back bar base battery before between bird block blue board body book bridge build button cache call cat change chart child city class clear client close cloud code "
+    "coffee color config correct count country create data date day default delete device dog door down dream dummy earth east edit email empty error event "
+    "example false field file fire fish flag flower foo form forest friend from function garden green group guest hand hello here home horse house image import "
+    "index input insert internal island item key kitchen label lake language last letter level light line link list local login long love machine magic mail "
+    "main master message method module monkey moon morning mother mountain music name night none note null number ocean office online open orange order page paper "
+    "password path person phone picture placeholder planet profile project public purple rain release replace request river road root sample secret server service "
+    "shadow silver simple sister small snow some song spring staple star static stone storage summer sun super system table test the thing this time token tree true "
+    "user value version water white window winter with word world your".split())
 BIGRAMS = "th|he|in|er|an|re|on|at|en|nd|ti|es|or|te|of|ed|is|it|al|ar|st|to|nt|ng|se|ha|as|ou|io|le|ve|co|me|de|hi|ri|ro|ic|ne|ea|ra|ce|li"
 TEST_PATH = "(?i)test|example|sample|fixture|mock|docs?/|spec|vendor|node_modules"
 FEATURES = (
     "length", "digits", "uppers", "lowers", "symbols", "hexes", "variety", "switches", "bigrams", "covered", "secret_word", "other_word",
-    "near_secret", "assigned", "quoted", "known", "test_path")
+    "near_secret", "assigned", "quoted", "known", "placeholder", "test_path")
 
 
-def features(value: Column, before: Column, after: Column, path: Column) -> Column:
-    """The forest's inputs as a struct of doubles."""
+def features(value: Column, before: Column, after: Column, path: Column, dictionary: tuple[str, ...] = DICTIONARY) -> Column:
+    """The forest's inputs as a struct of doubles. At each place the longest of the dictionary's words counts."""
+    entries = "|".join(sorted(dictionary, key=lambda w: (-len(w), w)))
     n = F.greatest(F.char_length(value), F.lit(1))
     share = lambda pattern: F.regexp_count(value, F.lit(pattern)) / n
     small, left = F.lower(value), F.lower(before)
     flag = lambda c: F.when(c, 1.0).otherwise(0.0)
     columns = {
-        "length": F.least(n, F.lit(400)).cast("double"),
+        "length": n.cast("double"),
         "digits": share("[0-9]"), "uppers": share("[A-Z]"), "lowers": share("[a-z]"), "symbols": share("[^A-Za-z0-9]"), "hexes": share("[0-9a-fA-F]"),
         "variety": F.size(F.array_distinct(F.split(value, ""))) / F.least(n, F.lit(64)),
         "switches": share("(?<=[0-9])[A-Za-z]|(?<=[A-Za-z])[0-9]|(?<=[a-z])[A-Z]|(?<=[A-Z])[a-z]"),
         "bigrams": F.regexp_count(small, F.lit(f"(?=(?:{BIGRAMS}))")) / n,
-        "covered": (n - F.char_length(F.regexp_replace(small, DICTIONARY, ""))) / n,
+        "covered": (n - F.char_length(F.regexp_replace(small, entries, ""))) / n,
         "secret_word": flag(F.rlike(left, F.lit(SECRET_WORDS))), "other_word": flag(F.rlike(left, F.lit(OTHER_WORDS))),
         "near_secret": flag(F.rlike(left, F.lit(f"(?:{SECRET_WORDS})[a-z_-]*[\"' ]*(?:[:=]|is|:=|=>)?[\"' ]*$"))),
         "assigned": flag(F.rlike(before, F.lit("[=:]\\s*[\"']?$"))),
         "quoted": flag(F.rlike(before, F.lit("[\"'`]$")) & F.rlike(after, F.lit("^[\"'`]"))),
         "known": flag(F.rlike(value, F.lit("^(?:AKIA|ASIA|gh[pousr]_|glpat-|xox[abpr]-|sk[-_]|eyJ|AIza|-----BEGIN)"))),
+        "placeholder": flag(F.rlike(small, F.lit(PLACEHOLDERS))),
         "test_path": flag(F.rlike(F.coalesce(path, F.lit("")), F.lit(TEST_PATH))),
     }
     return F.struct(*(c.cast("double").alias(k) for k, c in columns.items()))
@@ -78,8 +94,14 @@ def template_findings(spark: SparkSession, rows: int = 4000) -> DataFrame:
     b64 = F.regexp_replace(F.base64(F.unhex(F.sha2(text("d"), 256))), "[.]", "")
     digits = F.substring(F.regexp_replace(F.sha2(text("e"), 512), "[a-f]", ""), 1, 16)
     uuid = F.regexp_replace(hex32, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+    # passphrases: three or four dictionary words, some with a number behind
+    plain = [w for w in DICTIONARY if len(w) > 3 and not re.search(PLACEHOLDERS, w)]
+    word = lambda k: F.element_at(F.array(*(F.lit(w) for w in plain)), (F.pmod(F.xxhash64(i, F.lit(k)), F.lit(len(plain))) + 1).cast("int"))
+    joint = pick("j", "", "", "-", "_")
+    phrase = F.concat(F.concat_ws("|", word("p1"), word("p2"), word("p3")), pick("t", "", "", "7", "42"))
+    phrase = F.regexp_replace(phrase, "[|]", joint)
     secret = pick("v", hex40, hex32, hex64, b64, F.substring(b64, 1, 20), F.upper(hex40), F.concat(F.lit("AKIA"), F.upper(F.substring(F.regexp_replace(b64, "[^A-Za-z0-9]", "x"), 1, 16))),
-                  F.concat(F.lit("ghp_"), F.substring(F.regexp_replace(b64, "[^A-Za-z0-9]", "y"), 1, 36)), F.concat(F.lit("sk-"), hex40), F.concat(F.substring(b64, 1, 12), hex32), F.concat(F.lit("-----BEGIN PRIVATE KEY-----\n"), b64, F.lit("\n-----END PRIVATE KEY-----")))
+                  F.concat(F.lit("ghp_"), F.substring(F.regexp_replace(b64, "[^A-Za-z0-9]", "y"), 1, 36)), F.concat(F.lit("sk-"), hex40), F.concat(F.substring(b64, 1, 12), hex32), F.concat(F.lit("-----BEGIN PRIVATE KEY-----\n"), b64, F.lit("\n-----END PRIVATE KEY-----")), phrase, phrase)
     words = pick("w", "your-api-key-here-", "example_token_", "some_function_name_v", "assets/static/image_", "placeholder-value-", "release-notes-version-", "user.profile.page.", "insert_password_here_", "test-default-config-", "theandtionered")
     harmless = pick("h", hex40, hex64, hex32, uuid, digits, F.concat(words, F.pmod(i, F.lit(9000)).cast("string"), F.lit("00")), F.concat(words, F.lit("2024"), F.lit("01")), F.concat(F.lit("2024-01-"), digits), F.repeat(F.lit("x1"), 12))
     named = pick("n", "token", "secret", "api_key", "password", "access_key", "auth_token", "client_secret", "credentials", "private_key", "TOKEN", "Bearer")
