@@ -23,6 +23,8 @@ QUERIES = {
     "op9_bpe": lambda s, d: bpe.op9(read(s, d, "documents")),
     "op10_secret_forest": lambda s, d: secrets.op10(read(s, d, "documents")),
     "op8_sharding": lambda s, d: sharding.op8(read(s, d, "documents")),
+    # the part of op7 that SQL can express
+    "base_rule_measures": lambda s, d: rules.base_measures(read(s, d, "documents")),
 }
 ORACLES: dict[str, str] = {
     "op8_sharding": sharding.OP8_SQL,
@@ -30,4 +32,5 @@ ORACLES: dict[str, str] = {
     "op4_winnowing": decontaminate.OP4_SQL,
     "op5_quotation_links": chat.OP5_SQL,
     "op6_divide_skip": near.OP6_SQL,
+    "base_rule_measures": rules.BASE_SQL,
 }

@@ -54,10 +54,11 @@ DICTIONARY = tuple(
     "shadow silver simple sister small snow some song spring staple star static stone storage summer sun super system table test the thing this time token tree true "
     "user value version water white window winter with word world your".split())
 BIGRAMS = "th|he|in|er|an|re|on|at|en|nd|ti|es|or|te|of|ed|is|it|al|ar|st|to|nt|ng|se|ha|as|ou|io|le|ve|co|me|de|hi|ri|ro|ic|ne|ea|ra|ce|li"
+KNOWN = "^(?:AKIA|ASIA|gh[pousr]_|glpat-|xox[abpr]-|sk[-_]|eyJ|AIza|-----BEGIN)"
 TEST_PATH = "(?i)test|example|sample|fixture|mock|docs?/|spec|vendor|node_modules"
 FEATURES = (
     "length", "digits", "uppers", "lowers", "symbols", "hexes", "variety", "switches", "bigrams", "covered", "secret_word", "other_word",
-    "near_secret", "assigned", "quoted", "known", "placeholder", "test_path")
+    "near_secret", "assigned", "quoted", "known", "block", "placeholder", "test_path")
 
 
 def features(value: Column, before: Column, after: Column, path: Column, dictionary: tuple[str, ...] = DICTIONARY) -> Column:
@@ -78,7 +79,7 @@ def features(value: Column, before: Column, after: Column, path: Column, diction
         "near_secret": flag(F.rlike(left, F.lit(f"(?:{SECRET_WORDS})[a-z_-]*[\"' ]*(?:[:=]|is|:=|=>)?[\"' ]*$"))),
         "assigned": flag(F.rlike(before, F.lit("[=:]\\s*[\"']?$"))),
         "quoted": flag(F.rlike(before, F.lit("[\"'`]$")) & F.rlike(after, F.lit("^[\"'`]"))),
-        "known": flag(F.rlike(value, F.lit("^(?:AKIA|ASIA|gh[pousr]_|glpat-|xox[abpr]-|sk[-_]|eyJ|AIza|-----BEGIN)"))),
+        "known": flag(F.rlike(value, F.lit(KNOWN))), "block": flag(F.startswith(value, F.lit("-----BEGIN"))),
         "placeholder": flag(F.rlike(small, F.lit(PLACEHOLDERS))),
         "test_path": flag(F.rlike(F.coalesce(path, F.lit("")), F.lit(TEST_PATH))),
     }
@@ -100,19 +101,28 @@ def template_findings(spark: SparkSession, rows: int = 4000) -> DataFrame:
     joint = pick("j", "", "", "-", "_")
     phrase = F.concat(F.concat_ws("|", word("p1"), word("p2"), word("p3")), pick("t", "", "", "7", "42"))
     phrase = F.regexp_replace(phrase, "[|]", joint)
+    kind = pick("bk", "RSA PRIVATE KEY", "PRIVATE KEY", "EC PRIVATE KEY", "PGP PRIVATE KEY BLOCK")
+    headers = pick("bh", "", "", F.concat(F.lit("Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-256-CBC,"), hex32, F.lit("\n\n")))
+    body = F.array_join(F.array_repeat(F.concat(b64, hex32, F.lit("\n")), (F.pmod(F.xxhash64(i, F.lit("bl")), F.lit(20)) + 1).cast("int")), "")
+    block = F.concat(F.lit("-----BEGIN "), kind, F.lit("-----\n"), headers, body, pick("be", "", F.concat(F.lit("-----END "), kind, F.lit("-----"))))
+    # hosts, and single words behind a secret's name, as in "password: forgotten"
+    host = F.concat(word("h1"), F.pmod(i, F.lit(90)).cast("string"), F.lit("."), word("h2"), pick("ht", ".com", ".org", ".net", ".example"))
+    single = F.concat(word("s1"), pick("se", "s", "ing", "en", "able", ""))
     secret = pick("v", hex40, hex32, hex64, b64, F.substring(b64, 1, 20), F.upper(hex40), F.concat(F.lit("AKIA"), F.upper(F.substring(F.regexp_replace(b64, "[^A-Za-z0-9]", "x"), 1, 16))),
-                  F.concat(F.lit("ghp_"), F.substring(F.regexp_replace(b64, "[^A-Za-z0-9]", "y"), 1, 36)), F.concat(F.lit("sk-"), hex40), F.concat(F.substring(b64, 1, 12), hex32), F.concat(F.lit("-----BEGIN PRIVATE KEY-----\n"), b64, F.lit("\n-----END PRIVATE KEY-----")), phrase, phrase)
-    words = pick("w", "your-api-key-here-", "example_token_", "some_function_name_v", "assets/static/image_", "placeholder-value-", "release-notes-version-", "user.profile.page.", "insert_password_here_", "test-default-config-", "theandtionered")
-    harmless = pick("h", hex40, hex64, hex32, uuid, digits, F.concat(words, F.pmod(i, F.lit(9000)).cast("string"), F.lit("00")), F.concat(words, F.lit("2024"), F.lit("01")), F.concat(F.lit("2024-01-"), digits), F.repeat(F.lit("x1"), 12))
+                  F.concat(F.lit("ghp_"), F.substring(F.regexp_replace(b64, "[^A-Za-z0-9]", "y"), 1, 36)), F.concat(F.lit("sk-"), hex40), F.concat(F.substring(b64, 1, 12), hex32), block, block, phrase, phrase)
+    words = pick("w", "your-api-key-here-", "example_token_", "some_function_name_v", "assets/static/image_", "placeholder-value-", "release-notes-version-", "change-me-", "insert_password_here_", "test-default-config-", "theandtionered")
+    harmless = pick("h", hex40, hex64, hex32, uuid, digits, F.concat(words, F.pmod(i, F.lit(9000)).cast("string"), F.lit("00")), F.concat(words, F.lit("2024"), F.lit("01")), F.concat(F.lit("2024-01-"), digits), F.repeat(F.lit("x1"), 12), host, host, F.concat(word("q1"), F.lit("/"), word("q2"), F.lit("/"), word("q3"), F.lit(".html")))
     named = pick("n", "token", "secret", "api_key", "password", "access_key", "auth_token", "client_secret", "credentials", "private_key", "TOKEN", "Bearer")
-    other = pick("o", "commit", "sha256", "md5 checksum", "uuid", "order id", "card", "revision", "integrity", "file", "see the page", "phone", "account", "url", "and the word of")
+    other = pick("o", "commit", "sha256", "md5 checksum", "uuid", "order id", "card", "revision", "integrity", "file", "see the page", "phone", "account", "url", "and the word of", "", "", "")
     sign = pick("s", " = \"", ": \"", "=", ": ", " ", "='", " is ", " := \"")
     lead = pick("l", "the thing was ", "of for and ", "", "in this ", "config.", "export ", "und der ", "que la ")
     true = F.pmod(F.xxhash64(i, F.lit("y")), F.lit(2)) == 0
     # placeholders and numbers stay harmless behind the name of a secret
     weak = F.pmod(F.xxhash64(i, F.lit("q")), F.lit(2)) == 0
-    value = F.when(true, secret).when(weak, pick("k", F.concat(words, F.lit("1234")), digits, F.repeat(F.lit("x1"), 12), F.concat(words, F.lit("00"), F.lit("01")))).otherwise(harmless)
-    before = F.concat(lead, F.when(true | weak, named).otherwise(other), sign)
+    value = F.when(true, secret).when(weak, pick("k", F.concat(words, F.lit("1234")), digits, F.repeat(F.lit("x1"), 12), F.concat(words, F.lit("00"), F.lit("01")), single, single)).otherwise(harmless)
+    # what its prefix gives away stands half of the time without a name
+    alone = F.rlike(value, F.lit(KNOWN)) & (F.pmod(F.xxhash64(i, F.lit("z")), F.lit(2)) == 0)
+    before = F.when(alone, F.concat(lead, pick("u", "", "id ", "\n", "a "))).otherwise(F.concat(lead, F.when(true | weak, named).otherwise(other), sign))
     quote = F.when(F.rlike(sign, F.lit("[\"']$")), F.lit("\" ")).otherwise(F.lit(" and "))
     return spark.range(rows).select(value.alias("value"), before.alias("before"), quote.alias("after"), pick("p", "src/app.py", "src3", "lib/a/b.js", "tests/test_x.py", "docs/readme.md", "src0").alias("path"), true.cast("double").alias("is_secret"))
 
