@@ -443,7 +443,7 @@ def test_warc_round_trip_and_lookup(spark):
             (6, "x", "short"), (7, "http://b.example.com/y?z=1", "é" * 600)] + [(100 + i, f"http://h{i % 9}.net/{i}", f"page {i}\r\n\r\n") for i in range(40)]
     d = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit(0)).repartition(3)
     store = warc.write(d, block_lines=4)
-    got = {r["page_id"]: r for r in store.captures().collect()}
+    got = {r["page_id"]: r for r in store.captures(d).collect()}
     last = {}
     for i, _, h in rows:
         last[h] = max(i, last.get(h, i))
@@ -468,6 +468,20 @@ def test_warc_round_trip_and_lookup(spark):
         warc.BROADCAST_ROWS = old
 
 
+def test_warc_ids_and_hot_urls(spark):
+    """String ids of any kind come back; a URL with very many captures spans blocks; only what is asked for is read."""
+    rows = [("", "http://a.org/", "x"), (None, "http://a.org/", "y"), ("a\r\nb: c", "http://b.org/", "z" * 1500), ("%41", "http://b.org/", "z" * 1500), ("é>", None, "w" * 3_000_000), ("é>", None, "w" * 3_000_000)]
+    rows += [(f"h{i:04}", "http://hot.org/x", f"p{i}") for i in range(500)]
+    d = spark.createDataFrame(rows, "page_id string, url string, html string").repartition(4)
+    store = warc.write(d, block_lines=7)
+    got = store.captures(d).collect()
+    assert sorted((repr(r["page_id"]), r["payload_bytes"]) for r in got) == sorted((repr(i), len(h)) for i, _, h in rows)
+    assert {r["page_id"]: r["refers_to"] for r in got if r["record_type"] == "revisit"} == {"%41": "a\r\nb: c"}
+    some = store.captures(spark.createDataFrame([("http://hot.org/x",), ("http://none.org/",), (None,)], "url string")).collect()
+    assert len(some) == 502 and len(store.lookup("http://hot.org/x")) == 500
+    assert store.captures(d.limit(0)).count() == 0
+
+
 def store_row(r):
     from pyspark.sql import Row
 

@@ -167,9 +167,9 @@ WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t,
 g AS (SELECT rid, i, array_to_string(w[i:i + 7], ' ') AS s FROM (SELECT rid, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8)),
 twice AS (SELECT rid, i FROM g JOIN (SELECT rid, s FROM g GROUP BY rid, s HAVING count(*) > 1) USING (rid, s)),
 r AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(range(i, i + 8)) AS p FROM twice) GROUP BY rid),
-l AS (SELECT rid, list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM d),
+l AS (SELECT rid, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM d),
 m AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
    (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words, len(l)::BIGINT AS n_lines,
-   len(list_filter(range(2, len(w) + 1), i -> w[i] = w[i - 1]))::BIGINT AS n_twin_words FROM d JOIN l USING (rid) LEFT JOIN r USING (rid))
+   len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1]))::BIGINT AS n_twin_words FROM d JOIN l USING (rid) LEFT JOIN r USING (rid))
 SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m
 """

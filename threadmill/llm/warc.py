@@ -3,7 +3,9 @@
 Pages become WARC/1.1 records, one gzip member each, in one archive for each task. Captures are sorted by their
 reversed-host URL key; runs of ``block_lines`` index lines are compressed as blocks of an index file, and a sparse
 directory keeps the first key, the offset and the length of every block. To find a URL, binary search in the index files'
-first keys, in the directory of one of them and in one decompressed block leads to a range read of one record.
+first keys, in the directory of one of them and in one decompressed block leads to a range read of one record. ``captures`` does
+so for a whole table of URLs, in the order of their keys: a first pass turns keys into the blocks that may hold them, a second one, dealt by
+block, searches these and reads the records, so that a URL with very many captures is read by many tasks.
 
 Of records with equal payloads of at least ``least`` bytes the one with the largest page_id holds the payload
 (response); the others are revisits that name it. Payload digests are grouped with map-side maxima; only digests that
@@ -13,7 +15,8 @@ Files go through a file system opened from the shared folder's URI. A task write
 finished tasks return are indexed, so a lost executor leaves at worst an unread file.
 
 Edge cases: null html is an empty payload; null page_ids sort below all others and null URLs give the empty key; rows that
-share the largest page_id of a payload are each a response; empty tables make an empty archive; extra columns are ignored.
+share the largest page_id of a payload are each a response; page_ids come back as they were, line breaks in a URL as %0D and %0A;
+payloads of any length that fits a task are whole; empty tables make an empty archive; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -60,8 +64,12 @@ def _header(pairs: list[tuple[str, str]]) -> bytes:
     return ("WARC/1.1\r\n" + "".join(f"{k}: {clean(v)}\r\n" for k, v in pairs) + "\r\n").encode()
 
 
-def _record_id(page_id) -> str:
-    return f"<urn:page:{'' if page_id is None else page_id}>"
+def _record_id(page_id: str | None) -> str:
+    return "<urn:null>" if page_id is None else f"<urn:page:{quote(str(page_id))}>"
+
+
+def _page_id(record_id: str) -> str | None:
+    return None if record_id == "<urn:null>" else unquote(record_id[len("<urn:page:") : -1])
 
 
 def record(page_id, url: str | None, payload: bytes, digest: str, refers_to: str | None, date: str) -> bytes:
@@ -92,13 +100,12 @@ def parse(raw: bytes) -> Capture:
     h = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
     http, _, payload = rest[: int(h["Content-Length"])].partition(b"\r\n\r\n")
     size = int(next(x for x in http.split(b"\r\n") if x.startswith(b"Content-Length: ")).split(b": ")[1])
-    name = lambda x: x[len("<urn:page:") : -1] or None
     if h["WARC-Type"] == "revisit":
-        return Capture(name(h["WARC-Record-ID"]), h.get("WARC-Target-URI"), "revisit", size, h["WARC-Payload-Digest"].split(":", 1)[1], name(h["WARC-Refers-To"]), None)
+        return Capture(_page_id(h["WARC-Record-ID"]), h.get("WARC-Target-URI"), "revisit", size, h["WARC-Payload-Digest"].split(":", 1)[1], _page_id(h["WARC-Refers-To"]), None)
     digest = hashlib.sha1(payload).hexdigest()
     if len(payload) != size or f"sha1:{digest}" != h["WARC-Payload-Digest"]:
         raise ValueError(f"damaged record {h['WARC-Record-ID']}")
-    return Capture(name(h["WARC-Record-ID"]), h.get("WARC-Target-URI"), "response", size, digest, None, payload)
+    return Capture(_page_id(h["WARC-Record-ID"]), h.get("WARC-Target-URI"), "response", size, digest, None, payload)
 
 
 class Reader:
@@ -115,6 +122,11 @@ class Reader:
             self.name, self.file = name, self.fs.open_input_file(f"{self.path}/{name}")
         return self.file.read_at(length, offset)
 
+    def directory(self, name: str) -> list[list]:
+        """(first key, offset, length) of an index file's blocks, in order."""
+        with self.fs.open_input_file(f"{self.path}/{name}.dir") as f:
+            return [json.loads(x) for x in f.read().decode().split("\n")[:-1]]
+
 
 def roles(pages: DataFrame, least: int) -> DataFrame:
     """digest and response page of the payloads that occur more than once."""
@@ -132,24 +144,57 @@ class Store:
     directory: DataFrame
     id_type: str
 
-    def captures(self) -> DataFrame:
-        """Every record, found through the index blocks and read back by ranges."""
-        root = self.root
+    def captures(self, urls: DataFrame) -> DataFrame:
+        """Every record of the URLs in ``urls`` (url), found by binary search in directories and blocks and read back by ranges."""
+        root, spark, parts = self.root, self.directory.sparkSession, self.parts()
+
+        @tidy
+        def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([pa.array(sorted({url_key(u) for u in b.column(0).to_pylist()}), pa.string())], ["key"])
+
+        @tidy
+        def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Keys, in order, to the blocks whose range holds them."""
+            read, name, rows, firsts = Reader(root), None, [], []
+            for b in batches:
+                out: list[tuple[str, str, int, int]] = []
+                for k in b.column(0).to_pylist():
+                    for p in range(max(0, bisect.bisect_left(parts, (k,)) - 1), len(parts)):
+                        first, file = parts[p]
+                        if first > k:
+                            break
+                        if file != name:
+                            name, rows = file, read.directory(file)
+                            firsts = [r[0] for r in rows]
+                        for i in range(max(0, bisect.bisect_left(firsts, k) - 1), len(rows)):
+                            if firsts[i] > k:
+                                break
+                            out.append((k, file, rows[i][1], rows[i][2]))
+                yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], t) for c, t in enumerate((pa.string(), pa.string(), pa.int64(), pa.int64()))], ["key", "file", "offset", "length"])
 
         @tidy
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index, archive = Reader(root), Reader(root)
+        def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index, archive, at, lines = Reader(root), Reader(root), None, []
+            kinds = [("page_id", pa.string()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.string())]
             for b in batches:
-                for name, offset, length in zip(*(b.column(c).to_pylist() for c in range(3))):
-                    lines = [json.loads(x.split(" ", 1)[1]) for x in gzip.decompress(index.read(name, offset, length)).decode().split("\n")[:-1]]
-                    got = [parse(zlib.decompress(archive.read(x["f"], x["o"], x["n"]), 31)) for x in sorted(lines, key=lambda x: (x["f"], x["o"]))]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([getattr(c, k) for c in got], t) for k, t in (("page_id", pa.string()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.string()))],
-                        ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"])
-
-        spark = self.directory.sparkSession
-        blocks = self.directory.select("file", "offset", "length").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
-        out = blocks.mapInArrow(run, "page_id string, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to string")
+                places: list[dict] = []
+                for k, *block in zip(*(c.to_pylist() for c in b.columns)):
+                    if block != at:
+                        at, lines = block, gzip.decompress(index.read(*block)).decode().split("\n")[:-1]
+                    for i in range(bisect.bisect_left(lines, k + " "), len(lines)):
+                        if not lines[i].startswith(k + " "):
+                            break
+                        places.append(json.loads(lines[i].split(" ", 1)[1]))
+                places.sort(key=lambda x: (x["f"], x["o"]))
+                got = [parse(zlib.decompress(archive.read(x["f"], x["o"], x["n"]), 31)) for x in places]
+                yield pa.RecordBatch.from_arrays([pa.array([getattr(c, k) for c in got], t) for k, t in kinds], ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        keys = urls.select("url").mapInArrow(key, "key string").distinct().repartitionByRange(n, "key").sortWithinPartitions("key")
+        found = keys.mapInArrow(locate, "key string, file string, offset bigint, length bigint")
+        found = found.repartition(n, "file", "offset").sortWithinPartitions("file", "offset", "key")
+        out = found.mapInArrow(fetch, "page_id string, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to string")
         return out.withColumn("page_id", F.col("page_id").cast(self.id_type)).withColumn("refers_to", F.col("refers_to").cast(self.id_type))
 
     def parts(self) -> list[tuple[str, str]]:
@@ -161,8 +206,7 @@ class Store:
         """Captures of a URL, by binary search and range reads; revisits carry the digest of their response."""
         parts, key, read, found = parts or self.parts(), url_key(url), Reader(self.root), []
         for _, name in parts[max(0, bisect.bisect_left(parts, (key,)) - 1) :]:
-            with read.fs.open_input_file(f"{read.path}/{name}.dir") as f:
-                rows = [json.loads(x) for x in f.read().decode().split("\n")[:-1]]
+            rows = read.directory(name)
             firsts = [r[0] for r in rows]
             if firsts and firsts[0] > key:
                 break
@@ -256,7 +300,7 @@ def write(pages: DataFrame, least: int = 1000, block_lines: int = 1000, level: i
 
 
 def op2(pages: DataFrame) -> DataFrame:
-    return write(pages).captures().select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+    return write(pages).captures(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
 
 
 OP2_SQL = """
