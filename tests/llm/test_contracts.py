@@ -206,6 +206,8 @@ def test_winnowing_is_brute_force(spark, docs):
         decontaminate.BROADCAST_ROWS = old
     assert decontaminate.op4(docs, b.limit(0)).agg(F.sum("n_hit")).first()[0] == 0
     assert decontaminate.op4(docs.limit(0), b).count() == 0
+    names = {(r["doc_id"], len(r["items"]), sum(1 for _ in r["spans"]) > 0) for r in decontaminate.contamination(docs, b).collect()}
+    assert names == {(w[0], w[3], w[2] > 0) for w in want}
     by_text = dict(zip([r[0] for r in rows], rows))
     for r in decontaminate.clean(docs.select("doc_id", "text", "n_chars"), b).collect():
         t = by_text[r["doc_id"]][1]
@@ -213,6 +215,17 @@ def test_winnowing_is_brute_force(spark, docs):
         assert not hit[5] and (r["text"] == t if not hit[2] else len(words(r["text"])) == hit[1] - hit[2])
 
 
+def test_many_items_share_a_window(spark):
+    """A passage of 200 items in 300 documents: rows grow with the documents, not with pairs; long items are whole."""
+    passage = " ".join(f"p{i}" for i in range(14))
+    items = [(i, f"a{i} b{i} {passage} c{i}") for i in range(200)] + [(500, " ".join(f"q{i}" for i in range(30_000)))]
+    rows = [(i, f"x{i} {passage} y{i}") for i in range(300)] + [(900, " ".join(f"q{i}" for i in range(29_000)))]
+    d, b = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {r["doc_id"]: r for r in decontaminate.op4(d, b).collect()}
+    assert all((got[i]["n_words"], got[i]["n_hit"], got[i]["n_items"]) == (16, 14, 200) for i in range(300)) and (got[900]["n_hit"], got[900]["n_items"]) == (29_000, 1)
+    assert len({got[i]["items_sha256"] for i in range(300)}) == 1 and decontaminate.hits(d, b)[1].count() == 2
+
+
 def test_rules_count_and_judge(spark, docs):
     got = {}
     for r in rules.op7(docs).collect():

@@ -2,17 +2,19 @@
 
 Words are lower-cased runs of digits, ASCII letters and non-ASCII characters. Of every ``window`` consecutive words
 the k-word gram with the least hash is kept (the last among equals), so a span of that length shared by a document
-and an item has a kept gram in both, at the same place. Fingerprints are joined on their hashes; each match is
-extended word by word, and the runs of ``window`` equal words or more are the hits. An item of fewer words is one gram
-of its own length, looked up among all grams of that length.
+and an item has the same kept gram in both, at the same place. Fingerprints are joined on these hashes, and a match is extended to the windows
+around its gram: those whose words are the item's, by a 128-bit digest, are hits, and overlapping hits make up longer spans. An item of fewer
+words is one window of its own length, looked up among all spans of that length.
 
-The benchmark's hashes go into a bitmap of fixed size that lets document scans emit only grams that may match; the
-exact join behind it loses nothing when the bitmap fills up. The join broadcasts the benchmark only while it has at most
-BROADCAST_ROWS fingerprints and otherwise salts its keys, since one passage may occur in a third of all documents.
+The items' windows are told apart by their words, not by their items: a document row meets one row of the benchmark however
+many items share a window, and sets of windows are turned into sets of items once for each set that occurs. The
+benchmark's hashes go into bitmaps of fixed size that let document scans emit only windows that may match; the
+exact join behind them loses nothing when the bitmaps fill up. The join broadcasts the benchmark only while it has at most
+BROADCAST_ROWS windows and otherwise salts its keys, since one passage may occur in a third of all documents.
 
 Edge cases: null texts have no words; items without words or without an id are ignored; an id that several rows of
-the benchmark bear counts once; repeated documents are judged alike, each row for itself; empty tables give no hits or
-no rows; extra columns are ignored.
+the benchmark bear counts once; repeated documents are judged alike, each row for itself; texts and items of any length are
+scanned whole; empty tables give no hits or no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,8 +31,8 @@ from pyspark.sql import functions as F
 from . import hashing
 from .common import bitmap, by_bytes, in_bitmap, small_batches, staged, tidy, utf8
 
-BROADCAST_ROWS, SALTS, BROADCAST_BYTES = 20_000, 16, 64 << 20
-_FOUND = "array<struct<fp:bigint,place:bigint,lead:bigint,words:string>>"
+BROADCAST_ROWS, SALTS = 100_000, 16
+_FOUND = "array<struct<fp:bigint,win:binary,start:bigint,end:bigint>>"
 
 
 class Winnower:
@@ -38,32 +40,27 @@ class Winnower:
         self.window, self.k = window, k
 
     def kept(self, row: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places and hashes of the kept grams of all rows of a batch."""
+        """Places of all windows of a batch, and the hash of the gram each keeps."""
         g, last = hashing.grams(h, self.k), self.window - 1
         if len(h) <= last:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
         p = np.flatnonzero(row[: len(h) - last] == row[last:])
-        least, place = g[p], p.copy()
+        least = g[p]
         for j in range(1, self.window - self.k + 1):
-            other = g[p + j]
-            less = other <= least
-            least, place = np.where(less, other, least), np.where(less, p + j, place)
-        mask = np.zeros(len(g), bool)
-        mask[place] = True
-        place = np.flatnonzero(mask)
-        return place, g[place]
+            least = np.minimum(least, g[p + j])
+        return p, least
 
     def whole(self, row: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """All grams of n words, hashed apart from those of other lengths."""
+        """All spans of n words, hashed apart from those of other lengths."""
         g = hashing.grams(h, n)
         p = np.flatnonzero(row[: len(g)] == row[n - 1 :]) if len(g) else np.zeros(0, np.int64)
         return p, hashing.mix(g[p] + np.uint64(n))
 
-    def scan(self, data: np.ndarray, at: np.ndarray, lengths: list[int] | None, seen: np.ndarray | None):
-        """For a batch of texts: word counts, and (row, hash, place, words before it, words around) of its grams.
+    def scan(self, data: np.ndarray, at: np.ndarray, lengths: list[int] | None, seen: tuple[np.ndarray, np.ndarray] | None):
+        """For a batch of texts: word counts, and (row, fingerprint, window's hash, window's digest, place, end) of its windows.
 
-        lengths: short gram lengths to look for; None: a row shorter than the window is one gram.
-        seen: bitmap of hashes worth emitting; None: all.
+        lengths: short window lengths to look for; None: a row shorter than the window is one window.
+        seen: bitmaps of fingerprints and of windows' hashes worth emitting; None: all.
         """
         counts, found = np.zeros(len(at) - 1, np.int64), []
         for i, j in by_bytes(at):
@@ -71,64 +68,57 @@ class Winnower:
             n = np.bincount(row, minlength=j - i)
             counts[i:j] = n
             begin = np.concatenate([[0], np.cumsum(n)])
-            reach = self.window - self.k
+            lower = None
             for size in [0, *(lengths if lengths is not None else range(1, self.window))]:
                 p, fp = self.whole(row, h, size) if size else self.kept(row, h)
                 if size and lengths is None:
                     p, fp = (v[n[row[p]] == size] for v in (p, fp))
                 if seen is not None:
-                    p, fp = (v[in_bitmap(seen, fp)] for v in (p, fp))
-                for at_, f in zip(p.tolist(), fp.view(np.int64).tolist()):
-                    r = int(row[at_])
-                    lo = at_ if size else max(int(begin[r]), at_ - reach)
-                    hi = at_ + size if size else min(int(begin[r + 1]), at_ + self.k + reach)
-                    around = b" ".join(hashing.LOWER[data[start[q] : end[q]]].tobytes() for q in range(lo, hi))
-                    found.append((i + r, f, at_ - int(begin[r]), at_ - lo, around.decode()))
+                    p, fp = (v[in_bitmap(seen[0], fp)] for v in (p, fp))
+                size = size or self.window
+                span = hashing.grams(h, size)[p] if len(p) else np.zeros(0, np.uint64)
+                if seen is not None:
+                    p, fp, span = (v[in_bitmap(seen[1], span)] for v in (p, fp, span))
+                if len(p) and lower is None:
+                    lower = hashing.LOWER[data[at[i] : at[j]]].tobytes()
+                base = int(at[i])
+                for q, f, s in zip(p.tolist(), fp.view(np.int64).tolist(), span.view(np.int64).tolist()):
+                    words = b" ".join([lower[x - base : y - base] for x, y in zip(start[q : q + size].tolist(), end[q : q + size].tolist())])
+                    r = int(row[q])
+                    found.append((i + r, f, s, xxhash.xxh3_128_digest(words), q - int(begin[r]), q - int(begin[r]) + size))
         return counts, found
 
-    def extend(self, ours: list[str], a: int, theirs: list[str], b: int) -> tuple[int, int] | None:
-        """Words before and from the gram on that agree; None where they don't make up a window or a whole short item."""
-        short = len(theirs) < self.window and len(ours) == len(theirs) and a == b == 0
-        n = len(theirs) if short and len(theirs) < self.window else self.k
-        if ours[a : a + n] != theirs[b : b + n] or len(ours) < a + n:
-            return None
-        left, right = 0, n
-        while left < min(a, b) and ours[a - left - 1] == theirs[b - left - 1]:
-            left += 1
-        while a + right < len(ours) and b + right < len(theirs) and ours[a + right] == theirs[b + right]:
-            right += 1
-        return (left, right) if short or left + right >= self.window else None
-
 
-def benchmark_prints(benchmark: DataFrame, w: Winnower) -> DataFrame:
-    """fp, item_id, lead, words, n_words of every kept gram of the items."""
+def benchmark_windows(benchmark: DataFrame, w: Winnower) -> DataFrame:
+    """fp, span, win, n (words of it) and item_id of every window of the items."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            counts, found = w.scan(*utf8(b.column(1)), None, None)
-            rows = [x[0] for x in found]
+            _, found = w.scan(*utf8(b.column(1)), None, None)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([x[1] for x in found], pa.int64()), b.column(0).take(pa.array(rows, pa.int64())), pa.array([x[3] for x in found], pa.int64()),
-                 pa.array([x[4] for x in found], pa.string()), pa.array(counts[rows] if rows else [], pa.int64())], ["fp", "item_id", "item_lead", "item_words", "item_n"])
+                [*(pa.array([x[c] for x in found], t) for c, t in ((1, pa.int64()), (2, pa.int64()), (3, pa.binary()))), pa.array([x[5] - x[4] for x in found], pa.int64()),
+                 b.column(0).take(pa.array([x[0] for x in found], pa.int64()))], ["fp", "span", "win", "n", "item_id"])
 
     kind = benchmark.schema["item_id"].dataType.simpleString()
     rows = benchmark.where(F.col("item_id").isNotNull()).select("item_id", "text")
-    return rows.mapInArrow(run, f"fp bigint, item_id {kind}, item_lead bigint, item_words string, item_n bigint")
+    return rows.mapInArrow(run, f"fp bigint, span bigint, win binary, n bigint, item_id {kind}").distinct()
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, k: int = 8, keep: list[str] | None = None) -> DataFrame:
-    """doc_id, n_words, the hit spans (start, end in words), the ids of the items found, and the columns ``keep``, for each row of ``docs``."""
+def hits(docs: DataFrame, benchmark: DataFrame, window: int = 13, k: int = 8, keep: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``docs`` as doc_id, n_words, the hit spans (start, end in words), item_set (null: none found) and the columns ``keep``; and the
+    sets: item_set and the ids of its items, sorted."""
     spark = docs.sparkSession
     small_batches(spark)
     w = Winnower(window, k)
-    prints = staged(benchmark_prints(benchmark, w), "winnow-items")
-    stats = prints.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("item_words") + 48), F.lit(0)).alias("b")).collect()[0]
+    members = staged(benchmark_windows(benchmark, w), "winnow-items")
+    wins = staged(members.select("fp", "span", "win", "n").distinct(), "winnow-windows")
+    total = wins.count()
     # at most window - 1 numbers
-    short = sorted(r[0] for r in prints.where(F.col("item_n") < window).select("item_n").distinct().collect())
-    # sparse enough that few documents without a shared gram pass; 8 MB at most
-    bits = int(np.clip(np.ceil(np.log2(4096 * stats["n"] + 1)), 16, 26))
-    seen = bitmap(prints, "fp", bits)
+    short = sorted(r[0] for r in wins.where(F.col("n") < window).select("n").distinct().collect())
+    # sparse enough that few documents without a shared window pass; 8 MB each at most
+    bits = int(np.clip(np.ceil(np.log2(256 * total + 1)), 16, 26))
+    seen = bitmap(wins, "fp", bits), bitmap(wins, "span", bits)
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,7 +128,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, k: in
             found.sort(key=lambda x: x[0])
             per = np.bincount([x[0] for x in found], minlength=len(counts)) if found else np.zeros(len(counts), np.int64)
             item = pa.StructArray.from_arrays(
-                [pa.array([x[c] for x in found], t) for c, t in ((1, pa.int64()), (2, pa.int64()), (3, pa.int64()), (4, pa.string()))], ["fp", "place", "lead", "words"])
+                [pa.array([x[c] for x in found], t) for c, t in ((1, pa.int64()), (3, pa.binary()), (4, pa.int64()), (5, pa.int64()))], ["fp", "win", "start", "end"])
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per)]), pa.int32()), item)
             # a row's key: equal rows share it, and share their result
             keys = [xxhash.xxh3_128_hexdigest(data[at[i] : at[i + 1]].tobytes()) if per[i] else "" for i in range(len(counts))]
@@ -151,37 +141,36 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, k: in
     rows = docs.select("doc_id", "text", *(F.col(c).alias(h) for h, c in zip(held, keep)))
     kind = docs.schema["doc_id"].dataType.simpleString()
     scanned = rows.mapInArrow(run, f"doc_id {kind}, n_words bigint, key string, found {_FOUND}{kinds}")
-    scanned = staged(scanned.withColumn("key", F.when(F.size("found") > 0, F.concat_ws("|", "key", F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))))), "winnow-docs")
+    scanned = staged(scanned.withColumn("key", F.when(F.size("found") > 0, F.col("key"))), "winnow-docs")
 
     ours = scanned.where(F.col("key").isNotNull()).select("key", F.inline("found"))
-    if stats["n"] <= BROADCAST_ROWS and stats["b"] <= BROADCAST_BYTES:
-        met = ours.join(F.broadcast(prints), "fp")
+    known = wins.select("fp", "win")
+    if total <= BROADCAST_ROWS:
+        met = ours.join(F.broadcast(known), ["fp", "win"])
     else:
-        salt = F.pmod(F.xxhash64("key", "place"), F.lit(SALTS)).cast("int")
-        met = ours.withColumn("salt", salt).join(prints.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["fp", "salt"])
+        salt = F.pmod(F.xxhash64("key", "start"), F.lit(SALTS)).cast("int")
+        met = ours.withColumn("salt", salt).join(known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["fp", "win", "salt"])
+    per_doc = met.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"), F.array_sort(F.collect_set("win")).alias("wins"))
+    per_doc = staged(per_doc.withColumn("item_set", F.sha1(F.concat(*[F.array_join(F.transform("wins", F.hex), "")]).cast("binary"))), "winnow-hits")
 
-    @tidy
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep, start, end = [], [], []
-            for i, (place, lead, words, item_lead, item_words) in enumerate(zip(*(b.column(c).to_pylist() for c in range(2, 7)))):
-                if hit := w.extend(words.split(" "), lead, item_words.split(" "), item_lead):
-                    keep.append(i)
-                    start.append(place - hit[0])
-                    end.append(place + hit[1])
-            take = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(start, pa.int64()), pa.array(end, pa.int64())], ["key", "item_id", "start", "end"])
-
-    item = prints.schema["item_id"].dataType.simpleString()
-    hits = met.select("key", "item_id", "place", "lead", "words", "item_lead", "item_words").mapInArrow(verify, f"key string, item_id {item}, start bigint, end bigint")
-    per_doc = hits.groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("spans"), F.collect_set("item_id").alias("items"))
-    span = "array<struct<start:bigint,end:bigint>>"
-    none = [F.array().cast(span).alias("spans"), F.array().cast(f"array<{item}>").alias("items")]
+    # each set of windows that occurs is looked up once
+    sets = per_doc.groupBy("item_set").agg(F.min("wins").alias("wins")).select("item_set", F.explode("wins").alias("win"))
+    sets = sets.join(members.select("win", "item_id").distinct(), "win").groupBy("item_set").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+
+    none = F.array().cast("array<struct<start:bigint,end:bigint>>")
     named = [F.col(h).alias(c) for h, c in zip(held, keep)]
     # rows without a candidate need no join
-    met = scanned.where(F.col("key").isNotNull()).join(per_doc, "key", "left").select(
-        "doc_id", "n_words", F.array_sort(F.coalesce("spans", none[0])).alias("spans"), F.array_sort(F.coalesce("items", none[1])).alias("items"), *named)
-    return met.unionAll(scanned.where(F.col("key").isNull()).select("doc_id", "n_words", *none, *named))
+    found = scanned.where(F.col("key").isNotNull()).join(per_doc, "key", "left").select(
+        "doc_id", "n_words", F.coalesce("spans", none).alias("spans"), "item_set", *named)
+    return found.unionAll(scanned.where(F.col("key").isNull()).select("doc_id", "n_words", none.alias("spans"), F.lit(None).cast("string"), *named)), sets
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, k: int = 8, keep: list[str] | None = None) -> DataFrame:
+    """doc_id, n_words, the hit spans (start, end in words), the sorted ids of the items found, and the columns ``keep``, for each row of ``docs``."""
+    rows, sets = hits(docs, benchmark, window, k, keep)
+    kind = benchmark.schema["item_id"].dataType.simpleString()
+    items = F.coalesce("items", F.array().cast(f"array<{kind}>")).alias("items")
+    return rows.join(sets, "item_set", "left").select("doc_id", "n_words", "spans", items, *(keep or []))
 
 
 def n_hit(spans: str):
@@ -225,7 +214,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = 13, k: int = 8, l
     A row is contaminated when ``least_share * hit words >= words``. Rows with equal doc_id and text share a result.
     """
     names = docs.columns
-    d = contamination(docs, benchmark, window, k, keep=[c for c in names if c != "doc_id"])
+    d, _ = hits(docs, benchmark, window, k, keep=[c for c in names if c != "doc_id"])
     d = d.withColumn("_hit", n_hit("spans")).where((F.col("_hit") == 0) | (least_share * F.col("_hit") < F.col("n_words")))
     text = names.index("text")
 
@@ -249,10 +238,13 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = 13, k: int = 8, l
 
 
 def op4(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    d = contamination(docs, benchmark).withColumn("n_hit", n_hit("spans"))
-    names = F.array_sort(F.transform("items", lambda x: x.cast("string")))
+    rows, sets = hits(docs, benchmark)
+    # digests are made for each set, not for each document
+    names = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
+    sets = sets.select(F.col("item_set").alias("_set"), F.size("items").cast("long").alias("_n"), F.sha2(names, 256).alias("_names"))
+    d = rows.withColumn("n_hit", n_hit("spans")).join(sets, F.col("item_set") == F.col("_set"), "left")
     return d.select(
-        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(names, ","), 256).alias("items_sha256"),
+        "doc_id", "n_words", "n_hit", F.coalesce("_n", F.lit(0).cast("long")).alias("n_items"), F.coalesce("_names", F.sha2(F.lit(""), 256)).alias("items_sha256"),
         ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
 
 
