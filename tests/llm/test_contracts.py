@@ -618,9 +618,72 @@ def test_forest_on_findings_it_has_not_seen(spark):
     assert rest.agg(F.avg((F.col("hit") == F.col("is_secret")).cast("int"))).first()[0] > 0.97
 
 
-def test_very_large_meetings_are_tied_without_a_look(monkeypatch):
-    rule = near.Rule(4, 85, 100)
-    rows = [[i, 64, bytes([255 * (j in (i, 7 - i)) for j in range(8)])] for i in range(6)]
-    assert len(near.ties(rows[:4], rule)) == 0  # 32 bits apart, ten are allowed
+def boilerplate_pair(r, size, share, change, common):
+    """Two sets of about ``size`` values, a share of them commonplaces, that differ in ``change`` values."""
+    import numpy as np
+
+    plain = [r.randrange(2**64) for _ in range(size - round(size * share))]
+    a = plain + r.sample(common, round(size * share))
+    b = list(a)
+    for _ in range(min(change, size - 1)):
+        at = r.randrange(len(b))
+        if r.random() < 0.5:
+            b[at] = r.randrange(2**64)
+        else:
+            b.pop(at)
+    return [np.array(sorted(set(x)), np.uint64) for x in (a, b)]
+
+
+@pytest.mark.parametrize("k,num", [(4, 85), (5, 80)])
+def test_signatures_lose_no_pair(k, num):
+    """Pairs alone in the world, with commonplaces in 1 to 95 % of their values: all that link share a signature that both keep."""
+    import numpy as np
+
+    rule, pairs, tight = near.Rule(k, num, 100), 0, 0
+    for seed in range(50):
+        r = random.Random(seed)
+        common = [r.randrange(2**64) for _ in range(150)]
+        for _ in range(40):
+            a, b = boilerplate_pair(r, r.randrange(2, 130), r.choice([0.01, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.95]), r.choice([1, 1, 2, 3, 4, 8, 12]), common)
+            both = len(np.intersect1d(a, b))
+            if not len(a) or not len(b) or 100 * both < num * (len(a) + len(b) - both) or np.array_equal(a, b):
+                continue
+            pairs += 1
+            row, sig, need = near.signatures(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), rule, np.sort(np.array(common, np.uint64)))
+            shared = set(sig[row == 0].tolist()) & set(sig[row == 1].tolist())
+            met = collections.Counter((x, n) for x, s, n in set(zip(row.tolist(), sig.tolist(), need.tolist())) if s in shared)
+            kept = [{s for x, s, n in zip(row.tolist(), sig.tolist(), need.tolist()) if x == side and s in shared and met[x, n] >= n >> 1} for side in (0, 1)]
+            assert kept[0] & kept[1], (seed, len(a), len(b), both)
+            tight += len(shared) <= 2
+    assert pairs > 500 and tight > 0
+
+
+@pytest.mark.parametrize("seed,kinds,others", [(1, 40, 400), (2, 20, 400), (3, 60, 0)])
+def test_jaccard_join_of_boilerplate(spark, seed, kinds, others):
+    """400 pairs of 63 words, a good part of which many rows share: the components of brute force, for both rules."""
+    r = random.Random(seed)
+    lines = [[f"k{i}w{j}" for j in range(r.randrange(12, 32))] for i in range(kinds)]
+    rows = []
+    for i in range(400):
+        line = lines[i % kinds]
+        w = line + [f"u{r.randrange(10**9)}" for _ in range(63 - len(line))]
+        v = w[: -r.randrange(2, 5)] if i % 2 else [*w[:40], "changed", *w[41:]]
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(v))]
+    rows += [(10**6 + i, " ".join(f"v{r.randrange(10**9)}" for _ in range(63))) for i in range(others)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    for rule in ((4, 85), (5, 80)):
+        got = near.join(d, near.Rule(*rule, 100)).select("doc_id", "n_shingles", "component_id", "n_links").collect()
+        assert sorted(map(tuple, got)) == sorted(jaccard_components(rows, *rule, 100))
+
+
+def test_hot_meetings_and_blocks_by_shingles(spark, monkeypatch):
+    """Buckets in which more nodes meet than are compared, and blocks that shingles fill, give the same components."""
     monkeypatch.setattr(near, "COMPARED", 5)
-    assert sorted(near.ties(rows, rule)) == [(i, 0) for i in range(1, 6)] and near.ties(rows[:1], rule) == []
+    monkeypatch.setattr(near, "BLOCK_SHINGLES", 400)
+    rows = [(i, t) for i, t, *_ in make_docs()] + [(5000 + i, " ".join([f"w{j}" for j in range(60)] + [f"n{i}"])) for i in range(40)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    for most in (100_000, 0):
+        monkeypatch.setattr(near, "BROADCAST_ROWS", most)
+        got = near.join(d, near.Rule(4, 85, 100)).select("doc_id", "n_shingles", "component_id", "n_links").collect()
+        assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, jaccard_components(rows, 4, 85, 100)))
+    assert near.join(d.limit(0), near.Rule(4, 85, 100)).count() == 0

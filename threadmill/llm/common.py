@@ -27,9 +27,11 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share, from ``spark.checkpoint.dir``; where that is unset, as in tests, one of our own."""
+    """The folder all machines share, from ``spark.checkpoint.dir``; where that is unset, as in tests on one machine, one of our own."""
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = tempfile.mkdtemp(prefix="threadmill-")
@@ -45,7 +47,17 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     to = fresh_dir(spark, name)
     df.write.parquet(to)
-    return spark.read.schema(df.schema).parquet(to)
+    out = spark.read.schema(df.schema).parquet(to)
+    out.staged_at = to
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(t.staged_at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def importable(spark: SparkSession) -> None:

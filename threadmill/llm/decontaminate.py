@@ -151,7 +151,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = 13, k: int = 8, ke
         salt = F.pmod(F.xxhash64("key", "start"), F.lit(SALTS)).cast("int")
         met = ours.withColumn("salt", salt).join(known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["fp", "win", "salt"])
     per_doc = met.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"), F.array_sort(F.collect_set("win")).alias("wins"))
-    per_doc = staged(per_doc.withColumn("item_set", F.sha1(F.concat(*[F.array_join(F.transform("wins", F.hex), "")]).cast("binary"))), "winnow-hits")
+    per_doc = staged(per_doc.withColumn("item_set", F.sha1(F.array_join(F.transform("wins", F.hex), ""))), "winnow-hits")
 
     # each set of windows that occurs is looked up once
     sets = per_doc.groupBy("item_set").agg(F.min("wins").alias("wins")).select("item_set", F.explode("wins").alias("win"))

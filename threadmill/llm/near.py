@@ -7,16 +7,20 @@ start. Two nodes link when ``den * intersection >= num * union``.
    hash space into d + 1 + slack buckets leaves at least 1 + slack of them equal in both sets. Each node emits the
    hash of each of its buckets for the size level of its own and for the next (a partner's sizes reach no further).
    Buckets with fewer than two shingles that are not corpus-wide commonplaces are weak and stay out as long as a node has no
-   more of them than the slack, so one shared line does not make candidates; this loses no pair, whatever counts
-   as commonplace. A node with more emits all its buckets: a partner with few shares a strong one, a partner with many
-   a strong one or all but d of its buckets as weak ones. Nodes that meet in a bucket are tied into candidate groups by
-   connected components.
-2. Search. Each group's sets are dealt to tasks, large groups as pairs of blocks. A task builds inverted lists of one block
+   more of them than the slack, so one shared line does not make candidates. This loses no pair, whatever counts as commonplace: of two
+   such nodes' equal buckets, 1 + slack or more, at most slack are weak. A node with more weak buckets emits all that are not empty, and
+   if these are no more than d, so many empty ones that d + 1 are out, in one order for all nodes. A partner with few weak buckets shares
+   at least 1 + slack - slack strong ones; a partner with many, which also holds back only the end of that order and at most m - d - 1
+   buckets, shares at least one of the m - d equal buckets among those that both emit. How many signatures a node must share at least
+   (``need``) follows from the same count, and is never more than any partner of its grants. Nodes that meet in a bucket are tied into
+   candidate groups by connected components where parity sketches allow the similarity; a bucket in which very many
+   nodes meet ties them all without a look, by a join that Spark splits.
+2. Search. Each group's sets are dealt to tasks, large groups as pairs of blocks, by documents and by shingles. A task builds inverted lists of one block
    and searches them with each set of the other: the longest lists are set aside (DivideSkip), the short ones are
    merged, and nodes that reach the required overlap less the lists set aside are looked up in the long ones by binary search.
 3. Links found are counted for both ends and joined into components.
 
-Exact copies never meet as pairs; no list of documents is ever held by the driver or by one task.
+Exact copies never meet as pairs; a task holds at most COMPARED nodes of a bucket and two blocks of sets.
 
 Edge cases: null and empty texts have no shingles and link with nothing; a text of fewer than k words is one
 shingle; repeated rows are copies of each other; a null doc_id takes part but is no component's id unless the component
@@ -36,12 +40,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import arrow_rows, bitmap, by_bytes, in_bitmap, staged, tidy, utf8
+from .common import arrow_rows, bitmap, by_bytes, discard, in_bitmap, staged, tidy, utf8
 from .components import components
 
-#: Documents of a block; commonplaces kept at most, and their least share of a batch; postings merged by a heap at most;
-#: nodes that meet in one bucket and are compared by sketch (more are tied without a look, which only makes groups larger).
-BLOCK, COMMON, COMMON_SHARE, HEAP, COMPARED = 256, 20_000, 0.01, 2048, 4096
+#: Documents of a block, and their shingles; commonplaces kept at most, and their least share of a batch; postings merged by a heap at most;
+#: nodes that meet in one bucket and are compared by sketch (more are tied without a look, which only makes groups larger); rows broadcast at most.
+BLOCK, BLOCK_SHINGLES, COMMON, COMMON_SHARE, HEAP, COMPARED, BROADCAST_ROWS = 256, 1 << 20, 20_000, 0.01, 2048, 4096, 100_000
 _MU = 0.0085  # weight of a probe against a merge step in DivideSkip
 
 
@@ -155,7 +159,7 @@ def documents(docs: DataFrame, rule: Rule) -> tuple[DataFrame, np.ndarray]:
 def signatures(values: np.ndarray, offs: np.ndarray, rule: Rule, common: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, signature, need) of the sets' buckets. need: twice the number of the row's signatures of this level and need that a
     partner shares at least, plus the step of the level, so that it also tells the two levels of a row apart. The weak
-    signatures of a row that emits everything are counted on their own: they matter only to partners that share no strong one."""
+    signatures of a row with too many of them are counted on their own: they matter only to partners that share no strong one."""
     n = np.diff(offs)
     rows = np.repeat(np.arange(len(n)), n)
     plain = np.ones(len(values), bool)
@@ -179,17 +183,20 @@ def signatures(values: np.ndarray, offs: np.ndarray, rule: Rule, common: np.ndar
         total = np.add.reduceat(scrambled, start)
         weak = m - np.bincount(row, weights=strong, minlength=len(n)).astype(np.int64)
         everything = weak > slack
-        equal = m - rule.differ(level)
-        # a partner that is just below that border shares its strong buckets only, as few as equal - slack
-        need, alone = 2 * (equal - np.minimum(weak, slack)) + step, 2 * equal + step
+        differ = rule.differ(level)
+        filled = np.bincount(row, minlength=len(n))
+        # a partner that is just below that border shares its strong buckets only, as few as equal - slack; one beyond it
+        # has at least filled - differ buckets that are not empty, and emits d + 1 at least
+        need = 2 * (m - differ - np.minimum(weak, slack)) + step
+        alone = 2 * np.maximum(1, filled - 2 * differ) + step
         salt = hashing.mix((level[row].astype(np.uint64) << np.uint64(40)) + place.astype(np.uint64))
         keep = strong | everything[row]
         out.append((row[keep], hashing.mix(total[keep] + salt[keep]), np.where(strong, need[row], alone[row])[keep]))
-        # nodes with too many weak buckets emit their empty ones too
-        for r in np.flatnonzero(everything & (n > 0)):
+        for r in np.flatnonzero(everything & (n > 0) & (filled <= differ)):
             empty = np.setdiff1d(np.arange(m[r]), place[row == r], assume_unique=True)
             sig = hashing.mix(hashing.mix((np.uint64(level[r]) << np.uint64(40)) + empty.astype(np.uint64)) + np.uint64(1))
-            out.append((np.full(len(empty), r), sig, np.full(len(empty), alone[r])))
+            sig = np.sort(sig)[: int(differ[r] + 1 - filled[r])]
+            out.append((np.full(len(sig), r), sig, np.full(len(sig), alone[r])))
     if not out:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
     return tuple(np.concatenate(x) for x in zip(*out))
@@ -278,18 +285,26 @@ def candidate_groups(docs: DataFrame, nodes: DataFrame, rule: Rule, common: np.n
                 yield pa.RecordBatch.from_arrays([pa.array(b.column(c).to_numpy()[keep]) for c in (1, 2)], ["sig", "node"])
 
     kept = met.select(F.xxhash64("node", "need").alias("h"), "sig", "node").mapInArrow(stay, "sig bigint, node bigint")
+    hot = staged(met.groupBy("sig").agg(F.count("*").alias("c"), F.min("node").alias("least")).where(F.col("c") > COMPARED).select("sig", "least"), "near-hot")
+    n_hot, stars = hot.count(), None
+    if n_hot:
+        few = F.broadcast(hot) if n_hot <= BROADCAST_ROWS else hot
+        stars = kept.join(few, "sig").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+        kept = kept.join(few, "sig", "left_anti")
     sketch = nodes.groupBy("node").agg(F.max("n").alias("n"), F.min("sketch").alias("sketch"))
     kept = kept.join(sketch.hint("merge"), "node").select("sig", "node", "n", "sketch")
-    edges = kept.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(tie, "a bigint, b bigint").distinct()
-    return staged(components(staged(edges, "near-edges")), "near-groups")
+    edges = kept.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(tie, "a bigint, b bigint")
+    edges = staged((edges.unionAll(stars) if stars is not None else edges).distinct(), "near-edges")
+    discard(met, enough, hot)
+    groups = staged(components(edges), "near-groups")
+    discard(edges)
+    return groups
 
 
 def ties(rows: list[list], rule: Rule) -> list[tuple[int, int]]:
     """A spanning forest of the nodes (node, n, sketch) whose sketches differ in no more bits than linked sets in values."""
     if len(rows) < 2:
         return []
-    if len(rows) > COMPARED:
-        return [(x[0], rows[0][0]) for x in rows[1:]]
     rows = sorted(rows, key=lambda x: (len(x[2]), x[1], x[0]))
     sizes = np.array([x[1] for x in rows])
     words = [np.frombuffer(x[2], np.uint64) for x in rows]
@@ -412,12 +427,13 @@ def join(docs: DataFrame, rule: Rule) -> DataFrame:
 
         # one task for a small group, pairs of blocks for a large one
         level = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(rule.den / rule.num)) + 1e-9).cast("int")
-        found = found.withColumn("level", level)
-        whole = staged(found.groupBy("root").agg(F.count("*").alias("all")), "near-sizes")
-        parts = staged(found.groupBy("root", "level").agg(F.count("*").alias("in_level")), "near-levels")
-        dealt = found.join(whole, "root").join(parts, ["root", "level"])
-        blocks = F.when(F.col("all") <= BLOCK, 1).otherwise(F.ceil(F.col("in_level") / BLOCK)).cast("int")
-        dealt = dealt.withColumn("blocks", blocks).withColumn("level", F.when(F.col("all") <= BLOCK, -1).otherwise(F.col("level")))
+        met = found.withColumn("level", level)
+        # no block has more than BLOCK sets or BLOCK_SHINGLES shingles or so; a longer set stands alone
+        share = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES))
+        whole = staged(met.groupBy("root").agg((share <= 1).alias("small")), "near-sizes")
+        parts = staged(met.groupBy("root", "level").agg(share.cast("int").alias("blocks")), "near-levels")
+        dealt = met.join(whole, "root").join(parts, ["root", "level"])
+        dealt = dealt.withColumn("blocks", F.when(F.col("small"), 1).otherwise(F.col("blocks"))).withColumn("level", F.when(F.col("small"), -1).otherwise(F.col("level")))
         dealt = dealt.withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
         dealt = staged(dealt.select("digest", "first", "copies", "root", "level", "block"), "near-dealt")
         many = dealt.where("level >= 0").select("root", "level", "block").distinct()
@@ -434,6 +450,7 @@ def join(docs: DataFrame, rule: Rule) -> DataFrame:
         sets = candidate_sets(docs, dealt, rule)
         jobs = jobs.join(sets, "digest").repartition("task").sortWithinPartitions("task", "side", "digest")
         links = staged(jobs.select("task", "digest", "copies", "side", "set").mapInArrow(_searcher(rule), "a binary, b binary, links bigint"), "near-links")
+        discard(groups, found, whole, parts, dealt, meets)
 
     roots = components(links.where("b is not null").select("a", "b")).withColumnRenamed("node", "digest")
     roots = staged(roots, "near-roots")
@@ -444,6 +461,7 @@ def join(docs: DataFrame, rule: Rule) -> DataFrame:
     # only nodes with copies or links need to be looked up
     known = staged(nodes.join(linked, "digest", "left").where("copies > 1 or component_id is not null").select(
         "digest", F.coalesce("component_id", "first").alias("component_id"), (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "near-known")
+    discard(links, roots, counts, named, ids, linked, nodes)
     return rows.join(known, "digest", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "digest")
 
