@@ -14,7 +14,7 @@ from threadmill.functions.porter import stem
 from threadmill.operators import search, segments, store
 from threadmill.streaming import capture
 
-DOCS = ["Fixing the auth-token in src/auth.py now", "the authenticated user authenticates; fixes done.", "relational conditional hopefulness of ponies caresses", "fix fix fix the bug. a bug", "nothing here at all", "Café fixation hopping falling agreed plastered motoring sized"]
+DOCS = ["Fixing the auth-token in src/auth.py now", "the authenticated user authenticates; fixes done.", "relational conditional hopefulness of ponies caresses", "fix fix fix the bug. a bug", "nothing here at all", "Café fixation hopping falling agreed plastered motoring sized", "My résumé: run git push, then git-push or push again; git push"]
 
 
 def fts(tokenizer):
@@ -24,7 +24,7 @@ def fts(tokenizer):
     return lambda q: {r[0]: -r[1] for r in db.execute("SELECT rowid, bm25(t) FROM t WHERE t MATCH ?", (q,))}
 
 
-@pytest.mark.parametrize("terms", [["fix"], ["the", "fix"], ["authenticate"], ["bug."], ["src/auth.py"], ["cafe"], ["hop"], ["missing"]])
+@pytest.mark.parametrize("terms", [["fix"], ["the", "fix"], ["authenticate"], ["bug."], ["src/auth.py"], ["cafe"], ["hop"], ["missing"], ["the bug"], ["fix fix"], ["fixes done", "the"], ["RÉSUMÉ"], ["git push"], ["push git"], ["café fixation"], ["authenticated user"]])
 def test_word_scores_are_fts(spark, terms):
     d = spark.createDataFrame(list(enumerate(DOCS)), "sid long, x string")
     index, lengths = search.postings(d, "sid", ["x"], stemmed=True)

@@ -46,7 +46,7 @@ def test_first_family(spark, tmp_path):
 
 
 def test_second_family(spark, tmp_path):
-    uuid = "01a0820e-0000-7000-8000-00000000002e"
+    uuid = "7d1c35aa-92b4-4e0f-a6d3-5b8f0e21c794"
     head = lambda **k: {"type": "session_meta", "payload": {"id": uuid, "originator": "tui", "thread_source": "user", "cwd": "/w", **k}}
     item = lambda **k: {"type": "event_msg", "payload": {"type": "item_completed", "item": k}}
     response = lambda **k: {"type": "response_item", "timestamp": "2026-02-03T00:00:00Z", "payload": k}

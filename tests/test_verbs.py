@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from threadmill.engine import Engine
 from threadmill.operators import records as R
+from threadmill.operators import segments
 
-UUID = "01a0820e-0000-7000-8000-00000000002e"
+UUID = "7d1c35aa-92b4-4e0f-a6d3-5b8f0e21c794"
 
 
 def log(path, *turns, cwd="/home/me/shop"):
@@ -63,7 +64,9 @@ def test_verbs(spark, tmp_path):
 
 def test_problems_and_old_files(spark):
     d = R.conform(spark.createDataFrame([("x", "odd", "", "maybe")], "sid string, harness string, date string, resolved string"))
-    assert d.select(R.problems()).first()[0] == ["malformed sid: 'x'", "unknown harness: 'odd'", "missing date", "bad resolved: 'maybe'"]
+    assert [p["field"] for p in d.select(R.problems()).first()[0]] == ["date", "harness", "resolved", "sid"]
+    good = R.conform(spark.createDataFrame([("claude/x", "claude", "2026-01-01", "open", [(1, "stop", None, 5, 3, 9, "t", "odd", None)])], f"sid string, harness string, date string, resolved string, segments array<{segments.SEGMENT}>"))
+    assert [tuple(p) for p in good.select(R.problems()).first()[0]] == [("segments[0].state", "one of pending, done, error"), ("segments[0].end", "not before start")]
     t = spark.createDataFrame([("h: 1\n---\n\nbody",), ("no header",), (None,)], "x string").select(R.sidecar_body(F.col("x"))).collect()
     assert [r[0] for r in t] == ["body", "no header", ""]
     w = spark.createDataFrame([("a", 1, 10), ("a", 2, 20), ("b", 1, 5)], "k string, mtime int, size int")

@@ -49,9 +49,11 @@ FAIL_WORDS = r"(?i)\bFAIL(?:ED)?\b|✗|✘|\bTraceback\b|\bError:"
 OK_WORDS = r"(?i)\ball tests? pass|\bPASS\b|✓|\bok\b|\bsucce"
 
 POLLUTION = (
-    r"(?i)@@THREADMILL-SUMMARIZER@@|^\s*@@S[0-9]+@@|^\s*(?:You\s+)?refine bullets for\b|^\s*You (?:refine|summari[sz]e) \w+ .*session summaries\b")
+    r"(?i)@@THREADMILL-SUMMARIZER@@|^\s*@@S[0-9]+@@|^\s*(?:You\s+)?refine bullets for\b|^\s*You (?:refine|summari[sz]e) \w+ .*session summaries\b|"
+    r"^\s*Summari[sz]e this Claude Code session transcript\b")
 
-PATH_TOKEN = r"[~/]?[\p{L}\p{N}_.\-]+(?:/[\p{L}\p{N}_.\-]+)+"
+#: Starts only where a token can start and never gives back what it took, so that words of any length are read once.
+PATH_TOKEN = r"(?<![\p{L}\p{N}_.\-])[~/]?[\p{L}\p{N}_.\-]++(?:/[\p{L}\p{N}_.\-]++)++"
 EXCLUDED, PRIVATE = "[excluded-path]", "[private]"
 EXCERPT_LIMIT, EXCERPT_HEAD, EXCERPT_TAIL, TRIMMED = 36_000, 24_000, 12_000, "\n...[trimmed]...\n"
 PATCH_OPS = {"add": "C", "update": "M", "delete": "D"}

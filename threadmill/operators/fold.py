@@ -28,12 +28,13 @@ def _listed(value: Column, when: Column) -> Column:
     return F.flatten(F.transform(F.sort_array(F.collect_list(F.when(when, F.struct("ord", value.alias("v"))))), lambda x: x["v"]))
 
 
-def firsts(items: Column, key: str | None = None) -> Column:
-    """Items whose key has not come before; of plain values the distinct ones in order."""
-    if key is None:
-        return F.array_distinct(items)
-    keys = F.transform(items, lambda x: x[key])
-    return F.filter(items, lambda x, i: F.array_position(keys, x[key]) == i + 1)
+def firsts(items: Column, key: str) -> Column:
+    """Items whose key has not come before, in order: the first item of each key by a sort, since a look back from every item would be quadratic."""
+    placed = F.transform(items, lambda x, i: F.struct(x[key].alias("k"), i.alias("i"), x.alias("x")))
+    ordered = F.array_sort(placed)
+    first = F.filter(F.transform(F.arrays_zip(ordered.alias("o"), F.concat(F.array(F.lit(None).cast("struct<k:string>")), F.transform(ordered, lambda o: F.struct(o["k"].cast("string").alias("k")))).alias("b")),
+                                 lambda z: F.when(z["o"].isNotNull() & (z["b"].isNull() | ~z["b"]["k"].eqNullSafe(z["o"]["k"].cast("string"))), F.struct(z["o"]["i"].alias("i"), z["o"]["x"].alias("x")))), lambda z: z.isNotNull())
+    return F.transform(F.array_sort(first), lambda z: z["x"])
 
 
 def with_commands(events: DataFrame) -> DataFrame:

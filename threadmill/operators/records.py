@@ -42,38 +42,49 @@ def conform(df: DataFrame) -> DataFrame:
     return df.select(*(value(n, k) for n, k in SCHEMA.items()))
 
 
+#: Constraints on a record's fields and on its segments' fields: what must be there, and what an enumeration allows.
+NEEDED, SEGMENT_NEEDED = ["sid", "harness", "date", "summary"], ["seq", "start", "end", "bytes"]
+ALLOWED = {"harness": ["claude", "codex"], "resolved": RESOLVED, "summary_state": STATES}
+SEGMENT_ALLOWED = {"event": P.SEGMENT_EVENTS, "state": SEGMENT_STATES}
+
+
+def broken(value, needed: list[str], allowed: dict[str, list[str]], relations: dict[str, tuple[str, Column]], prefix: Column) -> Column:
+    """(field, rule) of the constraints that ``value(field)`` doesn't keep; a relation is broken where it is false, not where it is null."""
+    blank = lambda f: value(f).isNull() if f == "summary" else F.coalesce(value(f).cast("string"), F.lit("")) == ""
+    rules = [(f, "needed", ~blank(f)) for f in needed]
+    rules += [(f, "one of " + ", ".join(options), F.coalesce(value(f).isin(options), F.lit(False))) for f, options in allowed.items()]
+    rules += [(f, text, F.coalesce(holds, F.lit(True))) for f, (text, holds) in relations.items()]
+    return F.array_compact(F.array(*(F.when(~holds, F.struct(F.concat(prefix, F.lit(f)).alias("field"), F.lit(text).alias("rule"))) for f, text, holds in rules)))
+
+
 def problems() -> Column:
-    """What is wrong with a record, as a list; empty where it is valid."""
+    """The constraints that a record breaks, as (field, rule); empty where it is valid."""
     c = F.col
-    bad = lambda when, *message: F.when(when, F.concat(*(m if isinstance(m, Column) else F.lit(m) for m in message)))
-    blank = lambda x: F.coalesce(x, F.lit("")) == ""
-    quoted = lambda x: F.coalesce(F.concat(F.lit("'"), x, F.lit("'")), F.lit("None"))
-    valid = T.sid_valid(c("sid"))
-    own = F.split_part(c("sid"), F.lit("/"), F.lit(1))
-    outer = [
-        bad(~valid, "malformed sid: ", quoted(c("sid"))), bad(~F.coalesce(c("harness").isin("claude", "codex"), F.lit(False)), "unknown harness: ", quoted(c("harness"))),
-        bad(valid & ~own.eqNullSafe(c("harness")), "sid harness ", quoted(own), " != record harness ", quoted(c("harness"))), bad(blank(c("date")), "missing date"),
-        bad(~F.coalesce(c("resolved").isin(*RESOLVED), F.lit(False)), "bad resolved: ", quoted(c("resolved"))),
-        bad(~F.coalesce(c("summary_state").isin(*STATES), F.lit(False)), "bad summary_state: ", quoted(c("summary_state"))), bad(c("summary").isNull(), "summary must have exactly the five named fields"),
-    ]
-    inner = F.flatten(F.transform(c("segments"), lambda s, i: F.transform(F.array_compact(F.array(
-        *(bad(s[k].isNull(), f"{k} must be an int") for k in ("seq", "start", "end", "bytes")), bad(s["start"] > s["end"], "start must be <= end"),
-        bad(~F.coalesce(s["event"].isin(*P.SEGMENT_EVENTS), F.lit(False)), "unknown event: ", quoted(s["event"])), bad(~F.coalesce(s["state"].isin(*SEGMENT_STATES), F.lit(False)), "bad state: ", quoted(s["state"])))),
-        lambda p: F.concat(F.lit("segment "), i.cast("string"), F.lit(": "), p))))
-    return F.concat(F.array_compact(F.array(*outer)), F.coalesce(inner, F.array().cast("array<string>")))
+    of = F.split_part(c("sid"), F.lit("/"), F.lit(1))
+    outer = broken(c, NEEDED, ALLOWED, {"sid": ("harness/id of its own harness", T.sid_valid(c("sid")) & of.eqNullSafe(c("harness")))}, F.lit(""))
+    inner = F.transform(c("segments"), lambda s, i: broken(lambda f: s[f], SEGMENT_NEEDED, SEGMENT_ALLOWED, {"end": ("not before start", s["end"] >= s["start"])}, F.format_string("segments[%d].", i)))
+    return F.concat(outer, F.coalesce(F.flatten(inner), F.array().cast("array<struct<field:string,rule:string>>")))
 
 
 def has_summary(summary: Column) -> Column:
     return F.coalesce(F.greatest(*(F.char_length(summary[k]) for k in P.SUMMARY_FIELDS)), F.lit(0)) > 0
 
 
+def fts_columns() -> list[Column]:
+    """The twelve texts of the word index; a phrase lies inside one of them."""
+    c = F.col
+    joined = lambda x: F.array_join(x, " ")
+    texts = {
+        **{k: c("summary")[k] for k in P.SUMMARY_FIELDS}, "keywords": joined(c("keywords")), "cwd": c("cwd"), "repo": c("repo"), "branch": c("branch"),
+        "commits": joined(F.transform("commits", lambda x: x["subject"])), "files": joined(F.transform("files", lambda x: x["path"])), "skills": joined(c("skills"))}
+    return [F.coalesce(t, F.lit("")).alias(n) for n, t in texts.items()]
+
+
 def search_text() -> list[Column]:
     """The texts a record is searched by: the index's twelve columns and the rest of the haystack."""
     c = F.col
     joined = lambda x: F.array_join(x, " ")
-    pair = lambda name, *keys: joined(F.transform(c(name), lambda x: F.concat_ws(" ", *(x[k].cast("string") for k in keys))))
-    return [*(c("summary")[k] for k in P.SUMMARY_FIELDS), joined(c("keywords")), pair("files", "path"), pair("commits", "sha", "subject"), c("repo"), c("branch"), c("cwd"), joined(c("skills")),
-            pair("subagents", "type"), joined(c("mcp")), joined(c("open_todos")), c("model"), c("native_id")]
+    return [*fts_columns(), joined(F.transform("subagents", lambda x: x["type"])), joined(c("mcp")), joined(c("open_todos")), c("model"), c("native_id")]
 
 
 def sidecar_body(text: Column) -> Column:

@@ -6,19 +6,26 @@ are rounded before they rank, and ties fall to the greater last_active and sid,
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import StringType
 
 from threadmill.functions import text as T
 from threadmill.functions.porter import stem
+from threadmill.functions.workers import importable
 from threadmill.operators.ranking import positions
 
 RRF_K, HALF_LIFE, LIMIT = 60, 90, 20
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 TOKEN_GAP = r"[^\p{L}\p{N}\-._/]+"
-FTS_COLUMNS = ["asked", "learned", "completed", "left_off", "next_steps", "keywords", "files", "commits", "repo", "branch", "cwd", "skills"]
+#: Bits of a place inside a column; columns stand far apart, so that no phrase spans two.
+COLUMN_BITS = 32
+_LATIN = [chr(i) for i in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)) if chr(i) == chr(i).lower() and unicodedata.normalize("NFD", chr(i))[0].isascii() and len(unicodedata.normalize("NFD", chr(i))) > 1]
+_PLAIN = [unicodedata.normalize("NFD", x)[0] for x in _LATIN]
 
 
 def haystack(columns: list[Column]) -> Column:
@@ -31,21 +38,37 @@ def tokens(c: Column) -> Column:
 
 
 def fold_marks(c: Column) -> Column:
-    """Without diacritics of the Latin letters, as the word index compares."""
-    return F.translate(c, "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
+    """Lower case without diacritics of the Latin letters, as the word index compares."""
+    return F.translate(F.lower(c), "".join(_LATIN), "".join(_PLAIN))
+
+
+def phrase(term: str, stemmed: bool) -> list[str]:
+    """A search term as the words of the index."""
+    if not stemmed:
+        return [w for w in re.split("[^\\w\\-./]+", term.lower()) if w]
+    folded = term.lower().translate(dict(zip(map(ord, _LATIN), _PLAIN)))
+    return [stem(w) for w in re.split("[^\\w\\-./]+", folded) if w]
 
 
-@F.pandas_udf(ArrayType(StringType()))
+@F.pandas_udf(StringType())
 def stems(words: pd.Series) -> pd.Series:
-    return words.map(lambda ws: None if ws is None else [stem(w) for w in ws])
+    return words.map(stem)
 
 
 def postings(docs: DataFrame, sid: str, columns: list[str], stemmed: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(term, sid, tf) and (sid, length): term counts are taken where the text is, before any shuffle."""
-    words = tokens(fold_marks(F.concat_ws("\n", *columns))) if stemmed else tokens(F.concat_ws("\n", *columns))
-    d = docs.select(F.col(sid).alias("sid"), (stems(words) if stemmed else words).alias("w"))
-    lengths = d.select("sid", F.size("w").cast("long").alias("length"))
-    return d.select("sid", F.explode("w").alias("term")).groupBy("term", "sid").agg(F.count("*").alias("tf")), lengths
+    """(term, sid, places) and (sid, length). Places are grouped where the text is, before any shuffle; of stemmed words each
+    distinct one is stemmed once."""
+    importable(docs.sparkSession)
+    words = [tokens(fold_marks(F.coalesce(c, F.lit(""))) if stemmed else F.coalesce(c, F.lit(""))) for c in map(F.col, columns)]
+    d = docs.select(F.col(sid).alias("sid"), *(w.alias(f"w{i}") for i, w in enumerate(words)))
+    lengths = d.select("sid", sum((F.size(f"w{i}") for i in range(len(words))), F.lit(0)).cast("long").alias("length"))
+    place = lambda i: lambda w, at: F.struct(w.alias("term"), (at.cast("long") + F.lit(i << COLUMN_BITS)).alias("at"))
+    placed = F.flatten(F.array(*(F.transform(f"w{i}", place(i)) for i in range(len(words)))))
+    found = d.select("sid", F.inline(placed)).groupBy("term", "sid").agg(F.sort_array(F.collect_list("at")).alias("places"))
+    if stemmed:
+        roots = found.select("term").distinct().select(F.col("term").alias("_w"), stems("term").alias("_s"))
+        found = found.join(roots, F.col("term") == F.col("_w")).groupBy(F.col("_s").alias("term"), "sid").agg(F.sort_array(F.flatten(F.collect_list("places"))).alias("places"))
+    return found, lengths
 
 
 def bm25(tf: Column, length: Column, mean: Column, n: Column, df: Column) -> Column:
@@ -56,15 +79,31 @@ def bm25(tf: Column, length: Column, mean: Column, n: Column, df: Column) -> Col
 
 
 def score_words(index: DataFrame, lengths: DataFrame, terms: list[str], stemmed: bool = False) -> DataFrame:
-    """(sid, score) of the documents that hold every term. Only the terms' postings are read."""
-    want = sorted({stem(t.lower()) if stemmed else t.lower() for t in terms})
+    """(sid, score) of the documents that hold every term; a term of several words is a phrase. Only the terms' postings are read."""
+    phrases = sorted({tuple(p) for t in terms if (p := phrase(t, stemmed))})
+    if not phrases:
+        return lengths.select("sid", F.lit(0.0).alias("score")).where(F.lit(False))
+    words = sorted({w for p in phrases for w in p})
     stats = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
-    hits = index.where(F.col("term").isin(want))
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    # as many rows as terms, and one row
-    rows = hits.join(F.broadcast(df), "term").join(lengths, "sid").join(F.broadcast(stats))
-    rows = rows.withColumn("s", bm25(F.col("tf"), F.col("length"), F.col("mean"), F.col("n"), F.col("df")))
-    return rows.groupBy("sid").agg(F.round(F.sum("s"), 10).alias("score"), F.count("*").alias("m")).where(F.col("m") == len(want)).select("sid", "score")
+    hits = index.where(F.col("term").isin(words)).groupBy("sid").agg(*(F.first(F.when(F.col("term") == w, F.col("places")), ignorenulls=True).alias(f"w{i}") for i, w in enumerate(words)))
+
+    def times(p: tuple[str, ...]) -> Column:
+        """How often the words stand one behind the other."""
+        back = lambda k: lambda x: x - k
+        at = [F.transform(f"w{words.index(w)}", back(k)) for k, w in enumerate(p)]
+        met = at[0]
+        for x in at[1:]:
+            met = F.array_intersect(met, x)
+        return F.coalesce(F.size(met), F.lit(0))
+
+    hits = hits.select("sid", *(times(p).alias(f"t{i}") for i, p in enumerate(phrases)))
+    df = hits.agg(*(F.count_if(F.col(f"t{i}") > 0).alias(f"d{i}") for i in range(len(phrases))))
+    for i in range(len(phrases)):
+        hits = hits.where(F.col(f"t{i}") > 0)
+    # two tables of one row
+    rows = hits.join(lengths, "sid").join(F.broadcast(stats)).join(F.broadcast(df))
+    total = sum((bm25(F.col(f"t{i}"), F.col("length"), F.col("mean"), F.col("n"), F.col(f"d{i}")) for i in range(len(phrases))), F.lit(0.0))
+    return rows.select("sid", F.round(total, 10).alias("score"))
 
 
 def score_trigrams(docs: DataFrame, sid: str, hay: Column, terms: list[str]) -> DataFrame:
@@ -97,8 +136,8 @@ def fuse(*lists: DataFrame, depth: int | None = None) -> DataFrame:
     for one in lists:
         if depth:
             one = one.orderBy(F.desc("score"), F.asc("sid")).limit(depth)
-        one = one.select("sid", "score").persist()  # two narrow columns that the ranking goes over several times
-        ranked.append(positions(one, "score", True, [F.asc("sid")]).select("sid", (1 / (RRF_K + F.col("position"))).alias("r")))
+        one = one.select("sid", "score")
+        ranked.append(positions(one, "score", True, "sid").select("sid", (1 / (RRF_K + F.col("position"))).alias("r")))
     both = ranked[0]
     for r in ranked[1:]:
         both = both.unionByName(r)

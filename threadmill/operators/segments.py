@@ -127,7 +127,7 @@ def work(records: DataFrame) -> DataFrame:
 
 def batches(items: DataFrame, size: int = BATCH) -> DataFrame:
     """``items`` (sid, seq, ...) with the number of their batch of ``size`` in the order of sid and seq."""
-    return positions(items, "sid", False, [F.asc("seq")]).withColumn("batch", F.floor((F.col("position") - 1) / size).cast("long"))
+    return positions(items, "sid", False, "seq").withColumn("batch", F.floor((F.col("position") - 1) / size).cast("long"))
 
 
 def summarize(work_items: DataFrame, summarizer) -> DataFrame:

@@ -6,6 +6,7 @@ session; keyed state with a time to live drops what comes while a session has be
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -27,9 +28,22 @@ def payloads(raw: DataFrame, text: str = "value") -> DataFrame:
     return d.select(*kept, get("v", "$.session_id").alias("session_id"), get("v", "$.transcript_path").alias("path"), event.alias("event"), F.coalesce(some("$.trigger"), some("$.reason"), some("$.source")).alias("trigger"))
 
 
-def spool(spark: SparkSession, folder: str) -> DataFrame:
-    """The stream of payload files of a folder; read files may be cleaned by the source."""
-    return spark.readStream.format("text").option("wholetext", "true").option("cleanSource", "off").load(folder)
+def spool(spark: SparkSession, folder: str, max_age: str = "24h", clean: str = "delete") -> DataFrame:
+    """The stream of payload files of a folder. Files that a finished batch has read are deleted by the source, those older than ``max_age``
+    are never read."""
+    reader = spark.readStream.format("text").option("wholetext", "true").option("cleanSource", clean).option("maxFileAge", max_age)
+    return reader.load(folder)
+
+
+def reap(spark: SparkSession, folder: str, hours: int = 24) -> int:
+    """Delete payload files that have lain in the spool for so long, read or not; returns their number."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    before, gone = time.time() * 1000 - hours * 3_600_000, 0
+    for f in fs.listStatus(path) if fs.exists(path) else []:
+        if f.isFile() and f.getModificationTime() < before:
+            gone += bool(fs.delete(f.getPath(), False))
+    return gone
 
 
 def debounce(events: DataFrame, key: str, ts: str, quiet_seconds: int = 600) -> DataFrame:
@@ -41,13 +55,12 @@ def debounce(events: DataFrame, key: str, ts: str, quiet_seconds: int = 600) ->
         if state.hasTimedOut:
             state.remove()
             return
-        rows = pd.concat(list(parts)).sort_values("ts")
-        last = pd.Timestamp(state.get[0], unit="us") if state.exists else None
-        out = []
-        for t in rows["ts"]:
-            if last is None or (t - last).total_seconds() > quiet_seconds:
-                out.append(t)
-            last = t if last is None else max(last, t)
+        ts = pd.concat([p["ts"] for p in parts]).sort_values()
+        known = pd.Timestamp(state.get[0], unit="us") if state.exists else pd.NaT
+        # the latest event before each one, that of earlier batches included
+        before = ts.shift(1).fillna(known).where(lambda x: ~(x < known), known)
+        out = ts[before.isna() | ((ts - before).dt.total_seconds() > quiet_seconds)].tolist()
+        last = max(x for x in (ts.iloc[-1], known) if x is not pd.NaT)
         state.update((int(last.value // 1000),))
         state.setTimeoutTimestamp(int(last.value // 1_000_000) + quiet_seconds * 1000 + 1)
         yield pd.DataFrame({"key": [k[0]] * len(out), "ts": out})
