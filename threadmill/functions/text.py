@@ -146,10 +146,11 @@ def _tokens(text: Column) -> tuple[Column, Column]:
 
 
 def scrub_text(text: Column, globs: list[str]) -> Column:
-    """Path-shaped tokens under an excluded path become the marker; the text is cut at its tokens and glued again."""
+    """Path-shaped tokens under an excluded path become the marker; the text is cut at its tokens and glued again. What holds no
+    separator holds no path."""
     tokens, gaps = _tokens(text)
     said = F.transform(tokens, lambda t: F.when(path_excluded(t, globs), F.lit(P.EXCLUDED)).otherwise(t))
-    return F.array_join(F.zip_with(gaps, said, lambda g, t: F.concat(g, F.coalesce(t, F.lit("")))), "")
+    return F.when(F.contains(text, F.lit("/")), F.array_join(F.zip_with(gaps, said, lambda g, t: F.concat(g, F.coalesce(t, F.lit("")))), "")).otherwise(text)
 
 
 def n_scrubbed_text(text: Column, globs: list[str]) -> Column:

@@ -28,13 +28,27 @@ def _listed(value: Column, when: Column) -> Column:
     return F.flatten(F.transform(F.sort_array(F.collect_list(F.when(when, F.struct("ord", value.alias("v"))))), lambda x: x["v"]))
 
 
+def leaders(items: Column) -> Column:
+    """Of structs whose first field is k the least of each k, in the order of k: by a sort, as a look over all for each would be quadratic."""
+    ordered = F.array_sort(items)
+    before = F.concat(F.array(F.lit(None).cast("string")), F.transform(ordered, lambda o: o["k"].cast("string")))
+    paired = F.arrays_zip(ordered.alias("o"), before.alias("b"))
+    return F.transform(F.filter(paired, lambda z: z["o"].isNotNull() & ~z["b"].eqNullSafe(z["o"]["k"].cast("string"))), lambda z: z["o"])
+
+
 def firsts(items: Column, key: str) -> Column:
-    """Items whose key has not come before, in order: the first item of each key by a sort, since a look back from every item would be quadratic."""
-    placed = F.transform(items, lambda x, i: F.struct(x[key].alias("k"), i.alias("i"), x.alias("x")))
-    ordered = F.array_sort(placed)
-    first = F.filter(F.transform(F.arrays_zip(ordered.alias("o"), F.concat(F.array(F.lit(None).cast("struct<k:string>")), F.transform(ordered, lambda o: F.struct(o["k"].cast("string").alias("k")))).alias("b")),
-                                 lambda z: F.when(z["o"].isNotNull() & (z["b"].isNull() | ~z["b"]["k"].eqNullSafe(z["o"]["k"].cast("string"))), F.struct(z["o"]["i"].alias("i"), z["o"]["x"].alias("x")))), lambda z: z.isNotNull())
-    return F.transform(F.array_sort(first), lambda z: z["x"])
+    """Items whose key has not come before, in order."""
+    found = leaders(F.transform(items, lambda x, i: F.struct(x[key].alias("k"), i.alias("i"), x.alias("x"))))
+    return F.transform(F.array_sort(F.transform(found, lambda f: F.struct(f["i"].alias("i"), f["x"].alias("x")))), lambda f: f["x"])
+
+
+def manifest(shown: Column) -> Column:
+    """(op, path) of every path, by its first mention; created outdoes modified, and that deleted."""
+    weight = lambda op: F.when(op == "C", -3).when(op == "M", -2).otherwise(-1)
+    first = leaders(F.transform(shown, lambda f, i: F.struct(f["path"].alias("k"), i.alias("i"))))
+    best = leaders(F.transform(shown, lambda f: F.struct(f["path"].alias("k"), weight(f["op"]).alias("w"))))
+    both = F.transform(F.arrays_zip(first.alias("f"), best.alias("b")), lambda z: F.struct(z["f"]["i"].alias("i"), z["b"]["w"].alias("w"), z["f"]["k"].alias("path")))
+    return F.transform(F.array_sort(both), lambda z: F.struct(F.element_at(F.array(F.lit("D"), F.lit("M"), F.lit("C")), -z["w"]).alias("op"), z["path"].alias("path")))
 
 
 def with_commands(events: DataFrame) -> DataFrame:
@@ -123,9 +137,7 @@ def _finish(s: DataFrame) -> DataFrame:
     inside = lambda p: (F.coalesce(F.col("cwd"), F.lit("")) != "") & F.startswith(p, F.concat(root, F.lit("/")))
     shown = F.transform("raw_files", lambda f: F.struct(f["op"].alias("op"), F.when(inside(f["path"]), F.substr(f["path"], F.char_length(root) + 2)).otherwise(f["path"]).alias("path")))
     s = s.withColumn("shown", F.filter(shown, lambda f: f["path"] != ""))
-    rank = lambda op: F.when(op == "C", 3).when(op == "M", 2).otherwise(1)
-    best = lambda f: F.array_max(F.transform(F.filter("shown", lambda g: g["path"] == f["path"]), lambda g: rank(g["op"])))
-    files = F.transform(firsts(F.col("shown"), "path"), lambda f: F.struct(F.element_at(F.array(F.lit("D"), F.lit("M"), F.lit("C")), best(f)).alias("op"), f["path"].alias("path")))
+    files = manifest(F.col("shown"))
     counted = F.transform(F.array_distinct("agents"), lambda a: F.struct(a.alias("type"), F.size(F.filter("agents", lambda b: b == a)).alias("count")))
     go = F.col("go_text") | F.exists("raw_files", lambda f: F.endswith(F.lower(f["path"]), F.lit(".go")))
     found = F.concat("terms", F.when(go, F.array(F.lit("go"))).otherwise(F.array().cast("array<string>")), F.when(F.col("rest_text"), F.array(F.lit("rest"))).otherwise(F.array().cast("array<string>")))
