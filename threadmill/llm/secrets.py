@@ -31,7 +31,7 @@ _RUN = "A-Za-z0-9_+/.-"
 VALUE = (
     "-----BEGIN [A-Z ]{0,40}PRIVATE KEY(?: BLOCK)?-----(?:(?:[^-]++|-(?!----))*+-----END [A-Z ]{0,40}PRIVATE KEY(?: BLOCK)?-----"
     "|(?:\\s*+(?:[A-Za-z-]{1,40}: [^\n]*+|[A-Za-z0-9+/=]{16,}+))*+(?:\\s*+[A-Za-z0-9+/]{1,15}+={1,2})?+)"
-    f"|(?<![{_RUN}])(?:(?<==)|(?![{_RUN}]*+=[{_RUN}]))(?:"
+    f"|(?<![{_RUN}])(?=[{_RUN}]{{8}})(?:(?<==)|(?![{_RUN}]*+=[{_RUN}]))(?:"
     f"(?=[A-Za-z_+/.-]*+[0-9])[{_RUN}]{{15,}}[A-Za-z0-9_+/]"
     "|(?:AKIA|ASIA)[A-Z0-9]{12,}|(?:gh[pousr]_|glpat-|xox[abpr]-|AIza)[A-Za-z0-9_-]{12,}"
     f"|(?<=(?i:{_NAMES})[\"']?\\s{{0,3}}(?:=|:|:=|=>)\\s{{0,3}}[\"']?)[{_RUN}]{{7,}}[A-Za-z0-9_+/])"
