@@ -14,6 +14,8 @@ from threadmill.functions import patterns as P
 from threadmill.functions import text as T
 from threadmill.operators import fold, render, search, segments, store
 from threadmill.plans.lens import lens, with_lenses
+from threadmill.plans.transcripts import written
+from threadmill.sources import logs
 
 TODAY = "2024-06-30"
 GLOBS = ["**/private-notes/**"]
@@ -302,12 +304,62 @@ def search_rrf(spark, d):
     return search.fuse(search.score_words(index, lengths, ["license", "apache"]), search.score_trigrams(docs, "doc_id", F.lower("text"), ["enen"]))
 
 
-@query()
+_HAY = "array_to_string(list_filter([asked, keyword_list, repo, cwd, model, native_id], lambda x: x IS NOT NULL AND x <> ''), chr(10))"
+
+
+@query(f"""WITH t AS (SELECT sid, date, last_active, lower({_HAY}) AS h FROM @sessions), w AS (SELECT *, list_filter(regexp_split_to_array(h, '[^\\p{{L}}\\p{{N}}\\-._/]+'), lambda x: x <> '') AS w FROM t),
+  x AS (SELECT sid, date, last_active, len(w) AS length, len(list_filter(w, lambda x: x = 'python')) AS a, greatest(length(h) - 2, 0) AS l3, (length(h) - length(replace(h, 'python', ''))) // 6 AS b FROM w),
+  st AS (SELECT count(*) AS n, avg(length) AS mean, avg(l3) AS mean3, count(*) FILTER (a > 0) AS da, count(*) FILTER (b > 0) AS db FROM x),
+  one AS (SELECT sid, row_number() OVER (ORDER BY round({_bm25_sql('da', 'mean', 'a', 'length')}, 10) DESC, sid) AS p FROM x, st WHERE a > 0),
+  two AS (SELECT sid, row_number() OVER (ORDER BY round({_bm25_sql('db', 'mean3', 'b', 'l3')}, 10) DESC, sid) AS p FROM x, st WHERE b > 0),
+  f AS (SELECT sid, round(sum(1::DOUBLE / (60 + p)), 12) AS s FROM (SELECT * FROM one UNION ALL SELECT * FROM two) GROUP BY sid),
+  k AS (SELECT sid, last_active, round(s * round(pow(0.5::DOUBLE, greatest(coalesce(date_diff('day', try_cast(date AS DATE), DATE '{TODAY}'), 0), 0) / 90.0::DOUBLE), 12), 12) AS score FROM f JOIN x USING (sid))
+  SELECT sid, score FROM k ORDER BY score DESC, last_active DESC, sid DESC LIMIT 20""")
 def search_stemmed(spark, d):
-    """Word and trigram lists with Porter stems; checked against an FTS engine in the tests."""
+    """The whole ranked query: word and trigram lists, fused, decayed, cut."""
     return search.search(records(spark, d), hay(), ["python"], TODAY, engine="fts").select("sid", "score")
 
 
+@query(f"""WITH {_WORDS}, ph AS (SELECT sid, length, len(list_filter(range(1, length), lambda i: w[i] = 'apache' AND w[i + 1] = 'license')) AS c FROM tf JOIN t USING (sid)), dc AS (SELECT count(*) FILTER (c > 0) AS dc FROM ph)
+  SELECT sid, round({_bm25_sql('dc', 'mean', 'c', 'length')}, 10) AS score FROM ph, st, dc WHERE c > 0""")
+def search_phrase(spark, d):
+    """A term of two words counts where they stand one behind the other."""
+    index, lengths = search.postings(doc_records(spark, d), "doc_id", ["text"])
+    return search.score_words(index, lengths, ["Apache License"])
+
+
+# --- sources: transcript files of both families --------------------------------------------------------------------
+
+_SPOKEN = "s AS (SELECT conv_id, ord, upper(role) AS role, trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS said FROM @turns WHERE text IS NOT NULL AND conv_id % 7 > 0)"
+_TOLD = """u AS (SELECT * FROM s WHERE said <> '' AND (role = 'ASSISTANT' OR NOT starts_with(said, '<'))),
+  live AS (SELECT conv_id, count(*) AS turn_count, md5(string_agg(concat(role, ': ', said), chr(10) || chr(10) ORDER BY ord)) AS excerpt_md5, max(ord) FILTER (role = 'ASSISTANT') AS last_said,
+    min(ord) FILTER (role = 'USER') AS first_asked FROM u GROUP BY conv_id HAVING count(*) FILTER (role = 'USER') > 0),
+  x AS (SELECT conv_id, max(ord) AS last_ord, count(DISTINCT ord % 5) AS n_files, count(DISTINCT ord % 2) AS n_mcp, count(*) AS n_helpers FROM s WHERE role = 'ASSISTANT' GROUP BY conv_id)"""
+
+
+@query(f"""WITH {_SPOKEN}, {_TOLD} SELECT concat('claude/c', conv_id) AS sid, turn_count, excerpt_md5, concat('2024-05-', lpad((1 + first_asked % 28)::VARCHAR, 2, '0')) AS date, '/home/u/shop' AS cwd,
+  'm-' || last_ord % 3 AS model, coalesce(n_files, 0) AS n_files, coalesce(n_mcp, 0) AS n_mcp, coalesce(n_helpers, 0) AS n_helpers, CASE WHEN last_ord % 2 = 1 THEN 'step ' || last_ord ELSE '' END AS todos,
+  CASE WHEN conv_id % 5 = 0 THEN 1 ELSE 0 END::BIGINT AS warnings FROM live LEFT JOIN x USING (conv_id)""")
+def transcripts_first_family(spark, d):
+    """Files of the first family, listed, read, dispatched and folded."""
+    return _extracted(spark, d, "claude")
+
+
+@query(f"""WITH {_SPOKEN}, {_TOLD} SELECT concat('codex/', lpad(conv_id::VARCHAR, 8, '0'), '-0000-4000-8000-000000000000') AS sid, turn_count, excerpt_md5, concat('2024-05-', lpad((1 + first_asked % 28)::VARCHAR, 2, '0')) AS date, '/w' AS cwd,
+  'm-' || last_ord % 3 AS model, coalesce(n_files, 0) AS n_files, coalesce(n_mcp, 0) AS n_mcp, coalesce(n_helpers, 0) AS n_helpers, CASE WHEN last_ord % 2 = 1 THEN 'step ' || last_ord ELSE '' END AS todos,
+  CASE WHEN conv_id % 5 = 0 THEN 1 ELSE 0 END::BIGINT AS warnings FROM live LEFT JOIN x USING (conv_id)""")
+def transcripts_second_family(spark, d):
+    """Files of the second family: the header's gate, two channels of turns, items and calls."""
+    return _extracted(spark, d, "codex")
+
+
+def _extracted(spark, d, family):
+    r = logs.extract(spark, [written(spark, d, family)], family)
+    helpers = F.aggregate("subagents", F.lit(0).cast("long"), lambda a, s: a + s["count"])
+    return r.select("sid", long("turn_count", "turn_count"), F.md5("excerpt").alias("excerpt_md5"), "date", "cwd", "model", long(F.size("files"), "n_files"), long(F.size("mcp"), "n_mcp"), helpers.alias("n_helpers"),
+                    F.array_join("open_todos", ",").alias("todos"), long("parse_warnings", "warnings"))
+
+
 # --- rendering ----------------------------------------------------------------------------------------------------
 
 _QUOTE = lambda c: f"CASE WHEN regexp_full_match({c}, '[A-Za-z0-9_@%+=:,./-]+') THEN {c} ELSE '''' || replace({c}, '''', '''\"''\"''') || '''' END"
@@ -334,19 +386,35 @@ def render_ndjson(spark, d):
 
 
 def full_records(spark: SparkSession, d: str) -> DataFrame:
-    """Folded sessions of the log with all columns of a record."""
-    none = F.lit("")
-    s = log_sessions(spark, d).withColumn("harness", F.lit("claude")).withColumn("native_id", F.col("sid")).withColumn("sid", F.concat(F.lit("claude/"), F.col("sid")))
-    summary = F.struct(F.lit("fix it").alias("asked"), *(none.alias(k) for k in P.SUMMARY_FIELDS[1:]))
-    return s.withColumn("date", F.substring("first_ts", 1, 10)).withColumn("last_active", F.col("last_ts")).withColumn("forked_from", F.lit(None).cast("string")).withColumn("summary", summary).withColumn("summary_state", F.lit("done"))
-
-
-@query()
+    """Sessions with all columns of a record, filled by the conversation's number."""
+    r, i = lens(spark, d, "sessions"), F.col("conv_id")
+    some = lambda k, value, kind: F.when(i % k == 0, value).otherwise(F.array().cast(f"array<{kind}>"))
+    pair = lambda a, b, x, y: F.struct(F.lit(x).alias(a), F.lit(y).alias(b))
+    summary = F.struct(*(F.when(i % 4 > 0, "did  it\nall").otherwise("").alias(k) if k == "completed" else F.when(F.lit(k == "asked"), F.col("asked")).otherwise("").alias(k) for k in P.SUMMARY_FIELDS))
+    return r.withColumns({
+        "branch": F.when(i % 2 == 0, "main"), "forked_from": F.when(i % 6 == 0, "f6"), "summary": summary, "keywords": F.filter(F.split("keyword_list", ","), lambda x: x != ""),
+        "skills": some(2, F.array(F.lit("review"), F.lit("plan")), "string"), "files": some(3, F.array(pair("op", "path", "C", "a.py"), pair("op", "path", "M", "b c.py")), "struct<op:string,path:string>"),
+        "commits": some(4, F.array(pair("sha", "subject", "abc1234", "Fix it")), "struct<sha:string,subject:string>"), "prs": some(5, F.array(F.lit("https://x/1")), "string"),
+        "subagents": some(2, F.array(F.struct(F.lit("helper").alias("type"), F.lit(2).alias("count"))), "struct<type:string,count:int>"), "mcp": some(3, F.array(F.lit("srv")), "string"),
+        "open_todos": some(4, F.array(F.lit("one"), F.lit("two")), "string"), "tests": F.when(i % 5 == 0, F.struct(F.lit("2 failed").alias("text"), F.lit(True).alias("broken"))),
+        "excerpt": F.when(i % 3 > 0, F.concat(F.lit("USER: "), F.repeat(F.lit("hello "), (i % 90).cast("int"))))})
+
+
+_BLOCK = f"""concat_ws(chr(10), '● ' || sid, concat('  ', date, ' · ', upper(harness[1]), harness[2:], CASE WHEN model IS NOT NULL THEN concat(' (', model, ')') ELSE '' END, ' · resolved=', coalesce(resolved, 'unknown')),
+  '  cwd:    ' || CASE WHEN cwd = '' THEN '-' ELSE cwd END, concat('  repo:   ', coalesce(repo, '-'), CASE WHEN conv_id % 2 = 0 THEN ' (branch: main)' ELSE '' END), '  active: ' || last_active, CASE WHEN conv_id % 6 = 0 THEN '  forked_from: f6' END,
+  CASE WHEN asked <> '' OR conv_id % 4 > 0 THEN '  summary:' ELSE concat('  summary: (pending — state ', summary_state, ')') END, CASE WHEN asked <> '' THEN '    Asked: ' || {_ONE} END, CASE WHEN conv_id % 4 > 0 THEN '    Completed: did it all' END,
+  CASE WHEN keyword_list <> '' THEN '  keywords: ' || replace(keyword_list, ',', ', ') END, CASE WHEN conv_id % 2 = 0 THEN '  skills: review, plan' END, CASE WHEN conv_id % 3 = 0 THEN '  files (2):' ELSE '  files (0):' END,
+  CASE WHEN conv_id % 3 = 0 THEN concat('    C a.py', chr(10), '    M b c.py') END, CASE WHEN conv_id % 4 = 0 THEN concat('  commits (1):', chr(10), '    abc1234 Fix it') ELSE '  commits (0):' END, CASE WHEN conv_id % 5 = 0 THEN '  prs: https://x/1' END,
+  CASE WHEN conv_id % 2 = 0 THEN '  subagents: helper×2' END, CASE WHEN conv_id % 3 = 0 THEN '  mcp: srv' END, CASE WHEN conv_id % 4 = 0 THEN concat('  open_todos:', chr(10), '    - one', chr(10), '    - two') END,
+  CASE WHEN conv_id % 5 = 0 THEN '  tests: 2 failed (broken=True)' END, '  resume: ' || {_RESUME})"""
+
+
+@query(f"SELECT sid, {_BLOCK} AS block FROM @sessions")
 def render_full(spark, d):
     return full_records(spark, d).select("sid", render.full().alias("block"))
 
 
-@query()
+@query(f"""SELECT sid, concat_ws(chr(10), {_BLOCK}, '--- transcript tail ---', CASE WHEN conv_id % 3 > 0 THEN right('USER: ' || repeat('hello ', (conv_id % 90)::INT), 400) ELSE '(transcript not available)' END, {_RESUME}) AS shown FROM @sessions""")
 def show_record(spark, d):
     r = full_records(spark, d)
     return render.show(r, r.select("sid", "excerpt"), 400)
@@ -412,7 +480,9 @@ def work_select(spark, d):
     return segments.work(r).select("sid", "text")
 
 
-@query()
+@query("""WITH c AS (SELECT conv_id, count(*) AS n FROM @turns GROUP BY conv_id), b AS (SELECT conv_id, n, t, e FROM c, (VALUES (2, 'precompact'), (4, 'stop')) v(t, e) WHERE t <= n),
+  s AS (SELECT conv_id, t AS place, e AS event FROM b UNION ALL SELECT conv_id, 99, 'change' FROM b GROUP BY conv_id), q AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY place) AS seq FROM s)
+  SELECT conv_id::VARCHAR AS sid, seq::INTEGER AS seq, string_agg('+' || length(event), '') OVER (PARTITION BY conv_id ORDER BY seq) AS answer FROM q""")
 def backfill_rollup(spark, d):
     """Segments in order through a stand-in summarizer that counts characters."""
     c, none = counted(spark, d), F.lit(None).cast("string")
