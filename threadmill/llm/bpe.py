@@ -235,72 +235,48 @@ def _chunks(texts: list, most: int = 1_000_000) -> Iterator[list]:
         yield part
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, the token ids and the text decoded from them, of every row."""
+def _run(docs: DataFrame, path: str, kept: list[str], columns: dict[str, str], cache_words: int) -> DataFrame:
+    """The columns ``kept`` and some of ids, decoded, n_tokens, ids_sha256 and decoded_sha256 (name to type), made in one pass over the texts."""
     small_batches(docs.sparkSession)
+    made = {
+        "ids": lambda packed, at, texts: pa.ListArray.from_arrays(at, pa.array(np.frombuffer(b"".join(packed), "<i4"))),
+        "decoded": lambda packed, at, texts: pa.array(texts, pa.string()), "n_tokens": lambda packed, at, texts: pa.array(np.diff(at).astype(np.int64)),
+        "ids_sha256": lambda packed, at, texts: pa.array([hashlib.sha256(p).hexdigest() for p in packed], pa.string()),
+        "decoded_sha256": lambda packed, at, texts: pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts], pa.string())}
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
+        bpe.cache_words = cache_words
         for b in batches:
             row = 0
-            for texts in _chunks(b.column(1).to_pylist()):
+            for texts in _chunks(b.column(len(kept)).to_pylist()):
                 packed = bpe.encode_batch(texts)
                 at = np.concatenate([[0], np.cumsum([len(p) // 4 for p in packed])]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(at, pa.array(np.frombuffer(b"".join(packed), "<i4")))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(row, len(texts)), ids, pa.array([bpe.decode(p) for p in packed])], ["id", "ids", "decoded"])
+                decoded = [bpe.decode(p) for p in packed] if {"decoded", "decoded_sha256"} & columns.keys() else []
+                same = [b.column(k).slice(row, len(texts)) for k in range(len(kept))]
+                yield pa.RecordBatch.from_arrays([*same, *(made[c](packed, at, decoded) for c in columns)], [*kept, *columns])
                 row += len(texts)
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, ids array<int>, decoded string").withColumnRenamed("id", id_col)
+    kinds = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept] + [f"{c} {t}" for c, t in columns.items()]
+    return docs.select(*kept, "text").mapInArrow(run, ", ".join(kinds))
 
 
-def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_tokens, ids_sha256 and decoded_sha256 of every row, digested where the ids are made."""
-    small_batches(docs.sparkSession)
+def encode(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, the token ids and the text decoded from them, of every row."""
+    return _run(docs, path, ["doc_id"], {"ids": "array<int>", "decoded": "string"}, CACHE_WORDS)
 
-    @tidy
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(path)
-        bpe.cache_words = CACHE_WORDS
-        sha = lambda x: hashlib.sha256(x).hexdigest()
-        for b in batches:
-            packed = [p for texts in _chunks(b.column(1).to_pylist()) for p in bpe.encode_batch(texts)]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(p) // 4 for p in packed], pa.int64()), pa.array([sha(p) for p in packed], pa.string()),
-                 pa.array([sha(bpe.decode(p).encode()) for p in packed], pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
+def digests(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row, digested where the ids are made."""
+    return _run(docs, path, ["doc_id"], {"n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"}, CACHE_WORDS)
 
 
 def tokens(docs: DataFrame, path: str, cache_words: int = 90_000) -> DataFrame:
     """doc_id, source and lang with the ids, their number and the digests, from one pass. The cache is smaller than by default, as
     workers still hold memory from the stages before."""
-    small_batches(docs.sparkSession)
-    kept = [f for f in docs.schema.fields if f.name in ("doc_id", "source", "lang")]
-    names = [f.name for f in kept]
-
-    @tidy
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(path)
-        bpe.cache_words = cache_words
-        sha = lambda x: hashlib.sha256(x).hexdigest()
-        for b in batches:
-            row = 0
-            for texts in _chunks(b.column(len(names)).to_pylist()):
-                packed = bpe.encode_batch(texts)
-                at = np.concatenate([[0], np.cumsum([len(p) // 4 for p in packed])]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(at, pa.array(np.frombuffer(b"".join(packed), "<i4")))
-                digests = [pa.array([sha(x) for x in col], pa.string()) for col in (packed, [bpe.decode(p).encode() for p in packed])]
-                same = [b.column(k).slice(row, len(texts)) for k in range(len(names))]
-                yield pa.RecordBatch.from_arrays([*same, ids, pa.array(np.diff(at).astype(np.int64)), *digests], [*names, "ids", "n_tokens", "ids_sha256", "decoded_sha256"])
-                row += len(texts)
-
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept)
-    return docs.select(*names, "text").mapInArrow(run, f"{kinds}, ids array<int>, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    kept = [c for c in docs.columns if c in ("doc_id", "source", "lang")]
+    return _run(docs, path, kept, {"ids": "array<int>", "n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"}, cache_words)
 
 
 def op9(docs: DataFrame) -> DataFrame:

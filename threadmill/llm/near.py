@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import arrow_rows, bitmap, by_bytes, discard, in_bitmap, staged, tidy, utf8
+from .common import arrow_rows, bitmap, by_bytes, discard, in_bitmap, small_batches, staged, tidy, utf8
 from .components import components
 
 #: Documents of a block, and their shingles; commonplaces kept at most, and their least share of a batch; postings merged by a heap at most;
@@ -515,6 +515,7 @@ def _searcher(rule: Rule):
 
 def with_digest(docs: DataFrame, rule: Rule) -> DataFrame:
     """``docs`` with the digest of each text's set (null: empty)."""
+    small_batches(docs.sparkSession)  # the plan runs when its caller writes it
     names, text = [*docs.columns, "digest"], docs.columns.index("text")
 
     @tidy

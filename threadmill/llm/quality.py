@@ -105,12 +105,16 @@ def dictionary(texts: list[bytes], size: int) -> bytes:
     return b"".join(out) or bytes(8)
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.01, rounds: int = 40) -> np.ndarray:
-    """Newton steps; every row weighs the same, so that the score is a probability."""
-    w = np.zeros(x.shape[1])
+def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 40) -> np.ndarray:
+    """Newton steps; every row weighs the same, so that the score is a probability. The weights are drawn towards what is known without
+    any feature, the share of good rows, and the more so the smaller the sample is."""
+    share = (y.sum() + 0.5) / (len(y) + 1)
+    centre, ridge = np.zeros(x.shape[1]), 0.01 + 50 / len(y)
+    centre[0] = np.log(share / (1 - share))
+    w = centre.copy()
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (p - y) + ridge * w
+        g = x.T @ (p - y) + ridge * (w - centre)
         h = (x * (p * (1 - p))[:, None]).T @ x + (ridge + 1e-9) * np.eye(len(w))
         step = np.linalg.solve(h, g)
         w -= step * min(1.0, 10 / max(np.abs(step).max(), 1e-9))

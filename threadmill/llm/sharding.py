@@ -6,7 +6,8 @@ spread over the whole scale. All rows sorted by that fraction carry the corpus m
 the sequence into equal runs gives shards of the same mixture.
 
 No window sees a whole source: ranks are taken inside (source, hash bucket) cells, and cell sizes are
-summed up before they are added. The final order is cut the same way into cells of the fraction.
+summed up before they are added. The final order is cut the same way into cells of the fraction. The number of cells grows with
+the rows, so that a cell stays small.
 
 Edge cases: a null source is a stratum of its own; null texts have size 1 and the CRC of no bytes; a null
 doc_id takes part like any value; identical rows are interchangeable; an empty table gives no rows; extra
@@ -20,8 +21,9 @@ from pyspark.sql import functions as F
 
 from .common import crc32_text, hash60, staged
 
-#: Cells a source is cut into before its rows are ranked, and cells of the fraction: both fixed numbers.
-SOURCE_CELLS, ORDER_CELLS = 512, 4096
+#: Cells a source is cut into before its rows are ranked, and cells of the fraction, at least; rows of a cell or so; cells at most, as many
+#: as one task may sum up and every task may hold.
+SOURCE_CELLS, ORDER_CELLS, CELL_ROWS, MOST_CELLS = 512, 4096, 250_000, 1 << 20
 
 
 def interleave(docs: DataFrame, shards: int = 8, seed: int = 17, source: str = "source") -> DataFrame:
@@ -33,7 +35,11 @@ def interleave(docs: DataFrame, shards: int = 8, seed: int = 17, source: str = "
     )
     key = [F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in ("doc_id", "text_crc32", "size")]
     rows = rows.withColumn("_h", hash60(F.lit(str(seed)), *key))
-    rows = staged(rows.withColumn("_cell", F.pmod("_h", F.lit(SOURCE_CELLS)).cast("int")), "shard-rows")
+    rows = staged(rows, "shard-rows")
+    n_rows = rows.count()
+    grown = lambda least: min(MOST_CELLS, max(least, n_rows // CELL_ROWS))
+    source_cells, order_cells = grown(SOURCE_CELLS), grown(ORDER_CELLS)
+    rows = rows.withColumn("_cell", F.pmod("_h", F.lit(source_cells)).cast("int"))
 
     by_source = Window.partitionBy("source").orderBy("_cell")
     cells = rows.groupBy("source", "_cell").agg(F.count("*").alias("_c")).select(
@@ -48,12 +54,12 @@ def interleave(docs: DataFrame, shards: int = 8, seed: int = 17, source: str = "
         rows.withColumn("_r", F.row_number().over(in_cell))
         .join(cells, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_cell") == F.col("_k")))
         .withColumn("_f", (F.col("_before") + F.col("_r") - 1 + start) / F.col("_n"))
-        .withColumn("_o", F.least(F.lit(ORDER_CELLS - 1), F.floor(F.col("_f") * ORDER_CELLS)).cast("int"))
+        .withColumn("_o", F.least(F.lit(order_cells - 1), F.floor(F.col("_f") * order_cells)).cast("int"))
         .select("doc_id", "source", "size", "text_crc32", "_h", "_f", "_o")
     )
     ranked = staged(ranked, "shard-ranked")
 
-    # at most ORDER_CELLS rows, so one task may sum them up and every task may hold them
+    # at most MOST_CELLS rows, so one task may sum them up and every task may hold them
     order = Window.orderBy("_o")
     sums = ranked.groupBy("_o").agg(F.count("*").alias("_c")).select(
         "_o", (F.sum("_c").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_c")).alias("_base"),
