@@ -18,8 +18,8 @@ from threadmill.streaming import capture
 class Engine:
     """``sources`` are (family, roots); ``exclude`` are globs of folders whose sessions must not be kept."""
 
-    def __init__(self, spark: SparkSession, root: str, sources: list[tuple[str, list[str]]] = (), exclude: list[str] = ()):
-        self.spark, self.store, self.sources, self.exclude = spark, store.Store(spark, root), list(sources), list(exclude)
+    def __init__(self, spark: SparkSession, root: str, sources: list[tuple[str, list[str]]] = (), exclude: list[str] = (), prefer: str = "same"):
+        self.spark, self.store, self.sources, self.exclude, self.prefer = spark, store.Store(spark, root), list(sources), list(exclude), prefer
 
     def _table(self, name: str, kind: str, tables: dict[str, str] | None = None) -> DataFrame:
         found = self.store.read(name, tables)
@@ -135,8 +135,9 @@ class Engine:
             index.sync(self.store)  # nothing of them stays searchable
         return gone
 
-    def backfill(self, summarizer: Callable[[str, str], str], only: str | None = None, max_batches: int | None = None) -> int:
+    def backfill(self, summarizer: Callable[[str, str], str] | dict[str, Callable[[str, str], str]], only: str | None = None, max_batches: int | None = None) -> int:
         """Summarize what is pending, in batches of sessions; returns the number of answers. ``max_batches`` leaves the rest for the next call.
+        Of several summarizers by family the options' preference picks one for each session.
 
         A second backfill that started from the same store fails at its commit and goes over what the first one left.
         """
@@ -145,6 +146,8 @@ class Engine:
         def make(tables: dict[str, str]) -> dict[str, DataFrame]:
             r = self.sessions(tables)
             items = segments.work(r if only is None else r.where(F.col("sid") == only))
+            if isinstance(summarizer, dict):
+                items = segments.assign(items, self.prefer, sorted(summarizer))
             if max_batches is not None:
                 items = segments.batches(items).where(F.col("batch") < max_batches)
             answers = self.store.scratch(segments.summarize(items, summarizer))

@@ -130,24 +130,44 @@ def batches(items: DataFrame, size: int = BATCH) -> DataFrame:
     return positions(items, "sid", False, "seq").withColumn("batch", F.floor((F.col("position") - 1) / size).cast("long"))
 
 
+def assign(items: DataFrame, prefer: str, available: list[str]) -> DataFrame:
+    """``items`` with ``by``, the summarizer of each: the preferred one ("same": of the session's own family), then the session's own, then
+    any; items that no available one can take are left out, for a machine that has one."""
+    own = F.split_part("sid", F.lit("/"), F.lit(1))
+    order = [own if prefer == "same" else F.lit(prefer), own, *map(F.lit, available)]
+    return items.withColumn("by", F.coalesce(*(F.when(x.isin(available), x) for x in order))).where("by is not null") if available else items.withColumn("by", F.lit(None).cast("string")).limit(0)
+
+
 def summarize(work_items: DataFrame, summarizer) -> DataFrame:
-    """(sid, seq, answer): segments of a session in order, each given the answer before it. ``summarizer(text, previous) -> str``.
+    """(sid, seq, answer): segments of a session in order, each given the answer before it. ``summarizer(text, previous) -> str``, or
+    several of them by the name in the column ``by``.
 
     A session's segments are serial by nature; sessions run side by side.
     """
+    several = isinstance(summarizer, dict)
+
     def run(part):
         part = part.sort_values("seq")
         previous, out = "", []
         for row in part.itertuples():
-            previous = summarizer(row.text, previous) or previous
+            previous = (summarizer[row.by] if several else summarizer)(row.text, previous) or previous
             out.append(previous)
         return part[["sid", "seq"]].assign(answer=out)
 
-    return work_items.select("sid", "seq", "text").groupBy("sid").applyInPandas(run, "sid string, seq int, answer string")
+    items = work_items.select("sid", "seq", "text", *(["by"] if several else []))
+    return items.groupBy("sid").applyInPandas(run, "sid string, seq int, answer string")
+
+
+_LABELS = "\n".join(f"- **{x}:** ..." for x in ("Asked", "Learned", "Completed", "Left off", "Next steps", "Resolved"))
+_OPENING = f"@@THREADMILL-SUMMARIZER@@\nAnswer for each marker with exactly these lines:\n{_LABELS}\n\n"
+
+
+def contract(previous: str, event: str) -> str:
+    """What stands before the turns in a summarizer's request."""
+    return _OPENING + (f"So far:\n{previous}\n\n" if previous else "") + f"New turns ({event}):\n"
 
 
 def prompt(text: Column, previous: Column, event: Column) -> Column:
     """What a summarizer is asked: the contract, what is known so far, and the new turns."""
-    lines = "\n".join(f"- **{x}:** ..." for x in ("Asked", "Learned", "Completed", "Left off", "Next steps", "Resolved"))
     known = F.when(F.coalesce(previous, F.lit("")) != "", F.concat(F.lit("So far:\n"), previous, F.lit("\n\n"))).otherwise("")
-    return F.concat(F.lit("@@THREADMILL-SUMMARIZER@@\nAnswer for each marker with exactly these lines:\n" + lines + "\n\n"), known, F.lit("New turns ("), event, F.lit("):\n"), text)
+    return F.concat(F.lit(_OPENING), known, F.lit("New turns ("), event, F.lit("):\n"), text)

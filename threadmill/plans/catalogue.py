@@ -480,6 +480,15 @@ def work_select(spark, d):
     return segments.work(r).select("sid", "text")
 
 
+@query("SELECT sid, CASE WHEN conv_id % 3 = 0 THEN 'codex' WHEN conv_id % 3 = 1 THEN harness WHEN harness = 'claude' THEN 'claude' END AS by FROM @sessions WHERE conv_id % 3 < 2 OR harness = 'claude'")
+def work_assign(spark, d):
+    """Which summarizer takes a session, by preference and by what there is."""
+    s = lens(spark, d, "sessions")
+    parts = [segments.assign(s.where("conv_id % 3 = 0"), "codex", ["claude", "codex"]), segments.assign(s.where("conv_id % 3 = 1"), "same", ["claude", "codex"]),
+             segments.assign(s.where("conv_id % 3 = 2 and harness = 'claude'"), "codex", ["claude"]), segments.assign(s, "same", [])]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).select("sid", "by")
+
+
 @query("""WITH c AS (SELECT conv_id, count(*) AS n FROM @turns GROUP BY conv_id), b AS (SELECT conv_id, n, t, e FROM c, (VALUES (2, 'precompact'), (4, 'stop')) v(t, e) WHERE t <= n),
   s AS (SELECT conv_id, t AS place, e AS event FROM b UNION ALL SELECT conv_id, 99, 'change' FROM b GROUP BY conv_id), q AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY place) AS seq FROM s)
   SELECT conv_id::VARCHAR AS sid, seq::INTEGER AS seq, string_agg('+' || length(event), '') OVER (PARTITION BY conv_id ORDER BY seq) AS answer FROM q""")
