@@ -169,8 +169,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, k: in
     """doc_id, n_words, the hit spans (start, end in words), the sorted ids of the items found, and the columns ``keep``, for each row of ``docs``."""
     rows, sets = hits(docs, benchmark, window, k, keep)
     kind = benchmark.schema["item_id"].dataType.simpleString()
-    items = F.coalesce("items", F.array().cast(f"array<{kind}>")).alias("items")
-    return rows.join(sets, "item_set", "left").select("doc_id", "n_words", "spans", items, *(keep or []))
+    named = ["doc_id", "n_words", "spans", "items", *(keep or [])]
+    # rows without a set stay out of the join: they would all meet at one key
+    clear = rows.where(F.col("item_set").isNull()).withColumn("items", F.array().cast(f"array<{kind}>"))
+    return rows.where(F.col("item_set").isNotNull()).join(sets, "item_set").select(*named).unionAll(clear.select(*named))
 
 
 def n_hit(spans: str):
@@ -241,11 +243,14 @@ def op4(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     rows, sets = hits(docs, benchmark)
     # digests are made for each set, not for each document
     names = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
-    sets = sets.select(F.col("item_set").alias("_set"), F.size("items").cast("long").alias("_n"), F.sha2(names, 256).alias("_names"))
-    d = rows.withColumn("n_hit", n_hit("spans")).join(sets, F.col("item_set") == F.col("_set"), "left")
-    return d.select(
-        "doc_id", "n_words", "n_hit", F.coalesce("_n", F.lit(0).cast("long")).alias("n_items"), F.coalesce("_names", F.sha2(F.lit(""), 256)).alias("items_sha256"),
-        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
+    sets = staged(sets.select("item_set", F.size("items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256")), "winnow-sets")
+    sets = F.broadcast(sets) if sets.count() <= BROADCAST_ROWS else sets
+    rows = rows.withColumn("n_hit", n_hit("spans"))
+    # rows without a set stay out of the join: they would all meet at one key
+    clear = rows.where(F.col("item_set").isNull()).withColumn("n_items", F.lit(0).cast("long")).withColumn("items_sha256", F.sha2(F.lit(""), 256))
+    names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256"]
+    d = rows.where(F.col("item_set").isNotNull()).join(sets, "item_set").select(*names).unionAll(clear.select(*names))
+    return d.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
 OP4_SQL = """

@@ -9,8 +9,8 @@ start. Two nodes link when ``den * intersection >= num * union``.
    Buckets with fewer than two shingles that are not corpus-wide commonplaces are weak and stay out as long as a node has no
    more of them than the slack, so one shared line does not make candidates. This loses no pair, whatever counts as commonplace: of two
    such nodes' equal buckets, 1 + slack or more, at most slack are weak. A node with more weak buckets emits all that are not empty, and
-   if these are no more than d, so many empty ones that d + 1 are out, in one order for all nodes. A partner with few weak buckets shares
-   at least 1 + slack - slack strong ones; a partner with many, which also holds back only the end of that order and at most m - d - 1
+   if these are no more than d, so many empty ones that d + 1 are out, in one order for all nodes. Of the 1 + slack
+   buckets or more that it shares with a partner with few weak ones, one at least is strong; a partner with many, which also holds back only the end of that order and at most m - d - 1
    buckets, shares at least one of the m - d equal buckets among those that both emit. How many signatures a node must share at least
    (``need``) follows from the same count, and is never more than any partner of its grants. Nodes that meet in a bucket are tied into
    candidate groups by connected components where parity sketches allow the similarity; a bucket in which very many
